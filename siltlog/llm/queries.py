@@ -2,9 +2,11 @@
 
 from .dedup import OP2_SQL, op2_exact_dedup
 from .packing import op1_packing
+from .secrets import op5_secret_scan
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
