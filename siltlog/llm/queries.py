@@ -1,5 +1,6 @@
 """Queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
+from .decontaminate import OP9_SQL, op9_decontamination
 from .dedup import OP2_SQL, op2_exact_dedup
 from .packing import op1_packing
 from .secrets import op5_secret_scan
@@ -8,5 +9,6 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op9_decontamination": op9_decontamination,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
