@@ -2,6 +2,7 @@
 
 from .decontaminate import OP9_SQL, op9_decontamination
 from .dedup import OP2_SQL, op2_exact_dedup
+from .licenses import op7_license_scan
 from .packing import op1_packing
 from .secrets import op5_secret_scan
 
@@ -9,6 +10,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op7_license_scan": op7_license_scan,
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
