@@ -5,6 +5,7 @@ from .dedup import OP2_SQL, op2_exact_dedup
 from .licenses import op7_license_scan
 from .packing import op1_packing
 from .secrets import op5_secret_scan
+from .warc import op10_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -12,5 +13,6 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op7_license_scan": op7_license_scan,
     "op9_decontamination": op9_decontamination,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
