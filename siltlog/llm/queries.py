@@ -5,11 +5,13 @@ from .dedup import OP2_SQL, op2_exact_dedup
 from .licenses import op7_license_scan
 from .packing import op1_packing
 from .secrets import op5_secret_scan
+from .tokencount import op4_token_count
 from .warc import op10_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_token_count": op4_token_count,
     "op5_secret_scan": op5_secret_scan,
     "op7_license_scan": op7_license_scan,
     "op9_decontamination": op9_decontamination,
