@@ -6,11 +6,13 @@ from .licenses import op7_license_scan
 from .packing import op1_packing
 from .secrets import op5_secret_scan
 from .tokencount import op4_token_count
+from .toxicity import op3_toxicity
 from .warc import op10_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_token_count": op4_token_count,
     "op5_secret_scan": op5_secret_scan,
     "op7_license_scan": op7_license_scan,
