@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def fresh_name(columns: Iterable[str], name: str) -> str:
 def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterable[pa.RecordBatch]:
     """Runs of rows with at most `most` bytes of text each (or one row that has more)."""
     at, held = 0, 0
-    lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()
     for i, n in enumerate(lengths):
         n = n or 0
         if i > at and held + n > most:
