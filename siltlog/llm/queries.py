@@ -3,6 +3,7 @@
 from .decontaminate import OP9_SQL, op9_decontamination
 from .dedup import OP2_SQL, op2_exact_dedup
 from .jaccard import op8_jaccard_join
+from .language import op6_language_id
 from .licenses import op7_license_scan
 from .packing import op1_packing
 from .secrets import op5_secret_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_count": op4_token_count,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
