@@ -90,7 +90,7 @@ FORMS = [
     (4, 0.95, r"(?:{n}) licen[cs]e{v}(?: or)? (?:any )?later(?: version)?"),
     (3, 0.90, r"(?:subject to|governed by|in accordance with|terms of|conditions of|compliance with|copy of|see) the (?:{n}) licen[cs]e{v}"),
     (3, 0.90, r"(?:{n}) licen[cs]e (?:version|v) ?{w}"),
-    (2, 0.80, r"(?:the )?(?:{n}) licen[cs]e"),
+    (2, 0.80, r"(?:{n}) licen[cs]e"),
     (1, 0.70, r"(?:{n}) {w} licen[cs]e"),
 ]
 
