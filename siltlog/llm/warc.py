@@ -122,9 +122,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, path = _file_system(self.path)
         found = sorted((f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(path, recursive=True)) if f.is_file and not f.base_name.startswith(("_", ".")))
-        out, held = [], self.task_bytes
+        out, held = [], 0
         for name, size in found:
-            if held + size > self.task_bytes:
+            if not out or held + size > self.task_bytes:
                 out.append([])
                 held = 0
             out[-1].append(name)
