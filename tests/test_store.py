@@ -125,3 +125,16 @@ def test_random_operations_against_a_dictionary(spark, tmp_path):
     for pin, seen in pins:
         assert rows(store.view(pin)) == seen
     store.close()
+
+
+def test_command_line(spark, tmp_path, capfdbinary):
+    from siltlog.__main__ import parse_batch, run
+
+    with Store(spark, str(tmp_path / "t")) as store:
+        assert run(store, "write", ["put", "a", "1", "delete", "b", "put", "c", "3"]) == 0
+        assert run(store, "get", ["a"]) == 0 and run(store, "get", ["b"]) == 1
+        assert run(store, "scan", ["b"]) == 0
+        with pytest.raises(StoreError, match="InvalidArgument"):
+            run(store, "put", ["a"])
+    assert capfdbinary.readouterr().out.endswith(b"c\t3\n")
+    assert parse_batch(["put", "k", "v"]) == [("put", "k", "v")]
