@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, cut, semi_or_anti, slices, table
@@ -20,10 +20,12 @@ SLICE = 4 << 20
 GROUP = 1 << 20
 #: Bits of a shingle's hash that are shuffled.
 KEPT_BITS = 48
-#: Rounds with chosen partners, at most, before all remaining pairs are tried.
-ROUNDS = 6
+#: Sets of each shingle that all others of it are tried with in a round.
+PARTNERS = 12
+#: Rounds with such partners, at most, before all remaining pairs are tried.
+ROUNDS = 2
 #: Remaining pairs for each entry of the index below which no further round is run.
-PAIRS_AN_ENTRY = 4
+PAIRS_AN_ENTRY = 1
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -210,45 +212,57 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives an id the smallest label among its neighbours and then that label's
     own label, so that the rounds grow as the logarithm of the longest path.
     """
-    both = cut(links.select("u", "v").union(links.select("v", "u")).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("id"), F.least("u", "low").alias("component")))
+    both = cut(links.select("u", "v").union(links.select("v", "u")))
+    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.least("id", F.min("v")).alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("component", "near").alias("at"), F.col("component").alias("was"))
+        near = both.join(labels.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("id"), "component", F.lit(None).cast("long").alias("was"))
+        own = labels.select("id", "component", F.col("component").alias("was"))
+        low = near.union(own).groupBy("id").agg(F.min("component").alias("at"), F.max("was").alias("was"))
         up = labels.select(F.col("id").alias("at"), F.col("component").alias("up"))
-        step = cut(step.join(up, "at", "left").select("id", F.least("at", F.coalesce("up", "at")).alias("component"), "was"))
-        labels, changed = step.select("id", "component"), step.filter("component < was").limit(1).count()
-        if not changed:
+        step = cut(low.join(up, "at", "left").select("id", F.least("at", "up").alias("component"), "was"))
+        labels = step.select("id", "component")
+        if step.filter("component < was").isEmpty():
             return labels
 
 
-def _fits(n: str, other: str) -> str:
-    return f"100 * least({n}, {other}) >= {PERCENT} * greatest({n}, {other})"
+def overlap_needed(n: str, other: str) -> str:
+    """SQL for the shingles that sets of these sizes share at least if they link."""
+    return f"(({PERCENT} * ({n} + {other}) + {99 + PERCENT}) div {100 + PERCENT})"
+
+
+def _index(sets: DataFrame) -> DataFrame:
+    """(token, id, n, place): the shingles of each set's prefix in the first order with their places among all n.
+
+    Sets of n and m shingles that link share overlap_needed(n, m), so they have a shingle in common whose place in
+    each is at most the size less that. That bounds the partner's size, by `most`, and
+    entries whose bound is below all sizes that the shingle has are left out. So are shingles of one set.
+    """
+    entries = sets.select("id", "n", (F.col("n") - F.octet_length("shared") / 8).cast("long").alias("own"), F.posexplode("one").alias("rank", "token"))
+    entries = entries.select("token", "id", "n", (F.col("own") + F.col("rank")).alias("place"))
+    most = F.expr(f"({100 + PERCENT} * (n - place)) div {PERCENT} - n")
+    entries = cut(entries.withColumn("most", most))
+    least = entries.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return cut(entries.join(least, "token").filter("most >= least").select("token", "id", "n", "place"))
 
 
 def link_components(sets: DataFrame) -> DataFrame:
     """(id, component) of the sets that link with others.
 
-    The index has an entry for each shingle of a set's prefix in the first order. Trying all
-    pairs of a shingle's sets would be the square of a group of near copies, so
-    partners are chosen first: one set of each shingle is tried with all others of it. Sets that now are of one
-    component need not be tried with each other again. What remains is
-    every pair of different components that shares a shingle: it is counted, and either tried in full or, while it
-    is too much, cut down by another round with other partners.
+    Trying all pairs of a shingle's sets would be the square of a group of near copies, so
+    partners are chosen first: PARTNERS sets of each shingle are tried with all others of it. Sets that now
+    are of one component need not be tried with each other again. What remains is every pair of
+    different components that shares a shingle: it is counted, and either tried in full or, while it
+    is too much, cut down by another round with other partners. Only pairs whose sizes and places of the
+    shingle allow a link are tried at all.
     """
-    index = cut(sets.select("id", "n", F.explode("one").alias("token")))
-    busy = index.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    index = cut(index.join(busy.select("token"), "token", "left_semi"))
+    index = _index(sets)
     entries = index.count()
-    links = None
-    tried = None
-    labels = None
+    links, labels = None, None
     for round_ in range(ROUNDS + 1):
         if labels is None:
             own = index.withColumn("component", F.col("id"))
         else:
-            own = index.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        own = cut(own)
+            own = cut(index.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
         sizes = own.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
         main = cut(
             sizes.groupBy("token")
@@ -259,20 +273,20 @@ def link_components(sets: DataFrame) -> DataFrame:
         left = main.agg(F.sum(F.col("rest") * F.col("all"))).first()[0] or 0
         if not left:
             break
-        open_ = own.join(main.select("token", "main"), "token")
         last = left <= PAIRS_AN_ENTRY * entries or round_ == ROUNDS
-        side = open_.filter("component != main").select("token", F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"))
-        if not last:
-            chosen = F.min(F.struct(F.xxhash64("u", F.lit(round_)).alias("place"), "u", "u_n", "u_c"))
-            side = side.groupBy("token").agg(chosen.alias("x")).select("token", "x.u", "x.u_n", "x.u_c")
-        pairs = side.join(open_, "token").filter("component != u_c").filter(_fits("n", "u_n"))
+        open_ = cut(own.join(main.select("token", "main"), "token"))
+        side = open_.select("token", F.col("id").alias("u"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("other"), F.col("main").alias("chief"))
+        if last:
+            side = side.filter("other != chief")
+        else:
+            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("u", F.lit(round_)), "u"))
+            side = side.withColumn("rank", rank).filter(F.col("rank") <= PARTNERS).drop("rank")
+        needed_ = overlap_needed("n", "m")
+        fits = F.expr(f"component != other and place <= n - {needed_} and at <= m - {needed_}")
+        pairs = side.join(open_, "token").filter(fits)
         if last:
             pairs = pairs.filter("component = main or u < id")
-        pairs = pairs.select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
+        pairs = cut(pairs.select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct())
         found = verified(pairs, sets)
         links = found if links is None else links.union(found)
         labels = components(links)
