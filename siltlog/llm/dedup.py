@@ -9,7 +9,7 @@ from .common import cut, semi_or_anti, table
 
 #: Characters of the normalised text that the second refinement looks at.
 PREFIX = 256
-#: Groups whose keys (length and prefix hash, 16 bytes) may be broadcast; more are joined by a shuffle.
+#: Groups whose keys (at most a SHA-256 and an id) may be broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
 
 
@@ -48,9 +48,12 @@ def exact_dedup(docs: DataFrame, id_column: str, text_column: str, digest: str |
     rest = found.filter("shared")
     best = F.min(F.struct(-F.col("points"), F.col("id").isNull(), F.col("id").alias("keep_id")))
     groups = rest.groupBy("sha").agg(best["keep_id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(groups.filter("group_size > 1"))
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups.hint("merge")
     columns = ["id", "keep_id", "group_size", *(["sha"] if digest else [])]
     alone = found.filter("not shared").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha").select(columns)
-    out = alone.unionByName(rest.join(groups, "sha").select(columns))
+    grouped = rest.join(groups, "sha", "left").select("id", "sha", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    out = alone.unionByName(grouped.select(columns))
     out = out.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("id", id_column)
     return out.withColumnRenamed("sha", digest) if digest else out
 
