@@ -186,21 +186,50 @@ def _meet(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
+def _forest(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As few of the links as connect the same ids."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    out = []
+    for u, v in links:
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((u, v))
+    return out
+
+
+#: Links of a task that are held to thin them out to a forest.
+HELD_LINKS = 200_000
+
+
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a token under the other orders too, and then are as similar as asked for."""
+    """Of the pairs that share a token under the other orders too, and then are as similar as asked for, a forest that connects the same ids."""
+    links: list[tuple[int, int]] = []
+
+    def out() -> pa.RecordBatch:
+        u, v = zip(*_forest(links), strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
     for batch in batches:
-        links = []
         for x in batch.to_pylist():
             if _meet(x["two"], x["v_two"]) and _meet(x["three"], x["v_three"]):
                 both = _meet(x["shared"], x["v_shared"])
                 if 100 * both >= PERCENT * (x["n"] + x["v_n"] - both):
                     links.append((x["u"], x["v"]))
-        u, v = zip(*links, strict=True) if links else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        if len(links) > HELD_LINKS:
+            yield out()
+            links = []
+    yield out()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that link."""
+    """Links (u, v) among the pairs that connect what all links among them connect."""
     a = sets.select(F.col("id").alias("u"), "n", "shared", "two", "three")
     b = sets.select(F.col("id").alias("v"), *(F.col(c).alias(f"v_{c}") for c in ("n", "shared", "two", "three")))
     return cut(pairs.join(a, "u").join(b, "v").mapInArrow(_verify, "u long, v long"))
@@ -225,6 +254,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after further links, which are followed between components only."""
+    if labels is None:
+        return components(links)
+    of_u = labels.select(F.col("id").alias("u"), F.col("component").alias("cu"))
+    of_v = labels.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+    between = links.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    between = cut(between.filter("u != v").distinct())
+    if between.isEmpty():
+        return labels
+    joined = components(between).select(F.col("id").alias("component"), F.col("component").alias("low"))
+    single = between.select(F.col("u").alias("id")).union(between.select("v")).distinct().withColumn("component", F.col("id"))
+    all_ = labels.union(single.join(labels.select("id"), "id", "left_anti"))
+    return cut(all_.join(joined, "component", "left").select("id", F.coalesce("low", "component").alias("component")))
+
+
 def overlap_needed(n: str, other: str) -> str:
     """SQL for the shingles that sets of these sizes share at least if they link."""
     return f"(({PERCENT} * ({n} + {other}) + {99 + PERCENT}) div {100 + PERCENT})"
@@ -257,7 +302,7 @@ def link_components(sets: DataFrame) -> DataFrame:
     """
     index = _index(sets)
     entries = index.count()
-    links, labels = None, None
+    labels = None
     for round_ in range(ROUNDS + 1):
         if labels is None:
             own = index.withColumn("component", F.col("id"))
@@ -287,9 +332,7 @@ def link_components(sets: DataFrame) -> DataFrame:
         if last:
             pairs = pairs.filter("component = main or u < id")
         pairs = cut(pairs.select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct())
-        found = verified(pairs, sets)
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = merged(labels, verified(pairs, sets))
         if last:
             break
     if labels is None:
