@@ -20,7 +20,7 @@ SLICE = 4 << 20
 # Phrases that are always reported, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Families of licenses: label, keyword without which no rule of it is tried, names (as words, lower-case, in regular expressions), versions.
+# Families of licenses: label, keywords (each name has one of them; without any, no form with a name is tried), names (as words, lower-case, in regular expressions), versions.
 FAMILIES = [
     ("0bsd", "bsd", "0bsd|bsd zero clause|zero clause bsd", ""),
     ("afl", "academic", "academic free", "1.1 1.2 2.0 2.1 3.0"),
@@ -30,7 +30,7 @@ FAMILIES = [
     ("apsl", "apple", "apple public source", "1.0 1.1 1.2 2.0"),
     ("artistic", "artistic", "artistic", "1.0 2.0"),
     ("beerware", "beer", "beer ?ware", ""),
-    ("bsd", "bsd", "bsd|berkeley software distribution", ""),
+    ("bsd", "bsd|berkeley", "bsd|berkeley software distribution", ""),
     ("bsd-2-clause", "bsd", "bsd 2 clause|2 clause bsd|simplified bsd|freebsd", ""),
     ("bsd-3-clause", "bsd", "bsd 3 clause|3 clause bsd|(?:new|modified|revised) bsd", ""),
     ("bsd-4-clause", "bsd", "bsd 4 clause|4 clause bsd|original bsd", ""),
@@ -78,7 +78,7 @@ FAMILIES = [
     ("upl", "universal", "universal permissive", "1.0"),
     ("vim", "vim", "vim", ""),
     ("w3c", "w3c", "w3c(?: software)?", ""),
-    ("wtfpl", "wtfpl", "wtfpl|do what the fuck you want to public", "2"),
+    ("wtfpl", "wtfpl|fuck", "wtfpl|do what the fuck you want to public", "2"),
     ("x11", "x11", "x11|mit x11", ""),
     ("zlib", "zlib", "zlib(?: libpng)?", ""),
     ("zpl", "zope", "zope public", "1.1 2.0 2.1"),
@@ -98,7 +98,7 @@ FORMS = [
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     priority: int
     confidence: float
     pattern: re.Pattern
@@ -108,21 +108,21 @@ class Rule:
 def rules() -> tuple[Rule, ...]:
     """Every form for every family, in order of priority; forms with a version only for families that have versions."""
     out = []
-    for label, keyword, names, versions in FAMILIES:
+    for label, keywords, names, versions in FAMILIES:
         spoken = "|".join(re.escape(v).replace(r"\.", " ").removesuffix(" 0") + ("(?: 0)?" if v.endswith(".0") else "") for v in sorted(versions.split(), reverse=True))
         for priority, confidence, form in FORMS:
             if "{w}" in form and not versions:
                 continue
             optional = f"(?:,? (?:version |v ?)?(?:{spoken}))?" if versions else ""
             text = form.replace("{n}", names).replace("{v}", optional).replace("{w}", f"(?:{spoken})").replace("{i}", label.replace("-", " "))
-            for key in keyword.split("|"):
-                out.append(Rule(label, key, priority, confidence, re.compile(f"(?<![^ ])(?:{text})(?![^ ])")))
+            gate = ("spdx",) if "{i}" in form else tuple(keywords.split("|"))
+            out.append(Rule(label, gate, priority, confidence, re.compile(f"(?<![^ ])(?:{text})(?![^ ])")))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
 def detect(joined: str, present: set[str]) -> list[tuple[int, int, Rule]]:
     """What the rules find in words joined by spaces: (start, end, rule), without what is contained in a detection that goes ahead of it."""
-    found = [(m.start(), m.end(), r) for r in rules() if r.keyword in present for m in r.pattern.finditer(joined)]
+    found = [(m.start(), m.end(), r) for r in rules() if not present.isdisjoint(r.keywords) for m in r.pattern.finditer(joined)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
     starts: list[tuple[int, int]] = []
     kept = []
@@ -152,7 +152,7 @@ def _automaton():
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for word in {r.keyword for r in rules()} | {"licens", "licenc", "spdx", "released under", "distributed under", "available under", "published under"}:
+    for word in {w for r in rules() for w in r.keywords}:
         out.add_word(word, word)
     out.make_automaton()
     return out
@@ -206,7 +206,7 @@ def scan_licenses(docs: DataFrame, id_column: str, text_column: str) -> DataFram
 
     Words are runs of letters and digits, A-Z lower-cased. n_base, first_word,
     last_word and base_labels are of the places where the words of a phrase of BASE stand
-    one after another. The rules look for notices in the same words if their keyword
+    one after another. The rules look for notices in the same words if one of their keywords
     is in the text at all; a detection inside of another that has a higher
     priority, or the same and is not shorter, is suppressed. labels has the
     labels of both; detections has the rules' places in words; score is the chance that any is right.

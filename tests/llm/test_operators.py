@@ -232,6 +232,52 @@ def test_license_rules_suppress_what_they_contain():
     assert [(r.label, r.priority) for _, _, r in sorted(found, key=lambda d: d[0])] == [("apache", 4), ("lgpl", 3)]
 
 
+def worded(pattern):
+    """Texts that match a rule's pattern: every alternative and every optional part is in one of them, and in another is not."""
+
+    def cover(items):
+        parts = [p for p in map(options, items) if p]
+        return ["".join(p[i % len(p)] for p in parts) for i in range(max(map(len, parts), default=0))] or [""]
+
+    def options(item):
+        kind, value = str(item[0]), item[1]
+        if kind == "LITERAL":
+            return [chr(value)]
+        if kind == "IN":
+            return [chr(v) for _, v in value]
+        if kind == "SUBPATTERN":
+            return cover(value[-1])
+        if kind == "BRANCH":
+            return [t for branch in value[1] for t in cover(branch)]
+        if kind == "MAX_REPEAT":
+            return ["", *cover(value[2])]
+        assert kind == "ASSERT_NOT"
+        return []
+
+    return cover(re._parser.parse(pattern))
+
+
+def test_license_gates_let_every_wording_pass():
+    cases = [(r, t) for r in licenses.rules() for t in worded(r.pattern.pattern)]
+    assert {r for r, _ in cases} == set(licenses.rules()) and all(r.pattern.fullmatch(t) for r, t in cases if ", " not in t)
+    for r, t in cases:
+        assert not {w for _, w in licenses._automaton().iter(t)}.isdisjoint(r.keywords), (r, t)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        *((f"// SPDX-License-Identifier: {label.upper()}-2.0", label) for label in sorted({f[0] for f in licenses.FAMILIES})),
+        ("Berkeley Software Distribution License", "bsd"),
+        ("Do What The Fuck You Want To Public License", "wtfpl"),
+    ],
+)
+def test_license_labels_of_short_texts(text, label):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text], pa.large_string())], ["id", "text"])
+    row = licenses._scan(batch).to_pylist()[0]
+    assert label in row["labels"] and row["score"] > 0
+
+
 def linked(texts, k=5):
     sets = []
     for t in texts:
