@@ -36,10 +36,12 @@ FAMILIES = [
     ("bsd-4-clause", "bsd", "bsd 4 clause|4 clause bsd|original bsd", ""),
     ("bsl", "boost", "boost software", "1.0"),
     ("busl", "business", "business source", "1.1"),
-    ("cc-by", "creative", "creative commons attribution", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:ative)?s", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by", "creative|cc by", "creative commons attribution|cc by", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc", "creative|cc by", "creative commons attribution non ?commercial|cc by nc", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-nd", "creative|cc by", "creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-sa", "creative|cc by", "creative commons attribution non ?commercial share ?alike|cc by nc sa", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nd", "creative|cc by", "creative commons attribution no ?deriv(?:ative)?s|cc by nd", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-sa", "creative|cc by", "creative commons attribution share ?alike|cc by sa", "1.0 2.0 2.5 3.0 4.0"),
     ("cc0", "cc0", "cc0", "1.0"),
     ("cddl", "common", "common development and distribution", "1.0 1.1"),
     ("cecill", "cecill", "cecill", "1.0 1.1 2.0 2.1"),
@@ -170,10 +172,10 @@ def _scan(part: pa.RecordBatch) -> pa.RecordBatch:
         if not any(x in text for x in (b"licens", b"licenc", b"under")):
             rows.append((0, None, None, [], [], [], 0.0))
             continue
-        present = {w for _, w in _automaton().iter(text.decode("utf-8", "replace"))}
         a, b = found.first[i], found.first[i + 1]
         own = [data[s:e].tobytes() for s, e in zip(found.begin[a:b], found.end[a:b], strict=True)]
         joined = b" ".join(own).decode("utf-8", "replace")
+        present = {w for _, w in _automaton().iter(joined)}
         base = sorted((m.start(), label) for pattern, label in _BASE_PATTERNS for m in pattern.finditer(joined))
         kept = detect(joined, present)
         ends = np.cumsum([len(w.decode("utf-8", "replace")) + 1 for w in own])
@@ -207,7 +209,7 @@ def scan_licenses(docs: DataFrame, id_column: str, text_column: str) -> DataFram
     Words are runs of letters and digits, A-Z lower-cased. n_base, first_word,
     last_word and base_labels are of the places where the words of a phrase of BASE stand
     one after another. The rules look for notices in the same words if one of their keywords
-    is in the text at all; a detection inside of another that has a higher
+    is in these at all; a detection inside of another that has a higher
     priority, or the same and is not shorter, is suppressed. labels has the
     labels of both; detections has the rules' places in words; score is the chance that any is right.
 

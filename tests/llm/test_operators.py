@@ -278,6 +278,24 @@ def test_license_labels_of_short_texts(text, label):
     assert label in row["labels"] and row["score"] > 0
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under CC BY-NC 4.0.", ["cc-by-nc"]),
+        ("Licensed under CC BY 4.0.", ["cc-by"]),
+        ("This text is licensed under the CC-BY-SA-3.0 license", ["cc-by-sa"]),
+        ("Released under CC BY-ND 2.5", ["cc-by-nd"]),
+        ("Licensed under CC BY-NC-SA 4.0", ["cc-by-nc-sa"]),
+        ("Licensed under CC BY-NC-ND 4.0", ["cc-by-nc-nd"]),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike License", ["cc-by-nc-sa"]),
+        ("Copies in cc by the under-secretary; licensed to nobody", []),
+    ],
+)
+def test_creative_commons_abbreviations(text, labels):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text], pa.large_string())], ["id", "text"])
+    assert licenses._scan(batch).to_pylist()[0]["labels"] == labels
+
+
 def linked(texts, k=5):
     sets = []
     for t in texts:
