@@ -32,7 +32,8 @@ _ABOVE, _SPACES = re.compile(r"[^\x00-ſ]"), re.compile(r"\s\s")
 class ByteTokenizer:
     """Ids of a byte-level BPE tokenizer.json as little-endian unsigned 32-bit integers.
 
-    Strings of special tokens in a text are ordinary text.
+    `encode` takes strings of added tokens for ordinary text; `encode_whole` gives them their
+    ids, as the `tokenizers` library does with add_special_tokens=False.
     """
 
     def __init__(self, path: str):
@@ -40,12 +41,29 @@ class ByteTokenizer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = {x["content"] for x in spec["added_tokens"]}
+        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         byte_of = _byte_alphabet()
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added}
         self._any, self._easy = (
             tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_SPLIT, _EASY_SPLIT)
         )
+        self._path, self._library = path, None
+        self._added = {content: np.asarray([i], dtype="<u4").tobytes() for content, i in added.items()}
+        longest_first = map(re.escape, sorted(added, key=len, reverse=True))
+        self._cuts = re.compile(f"({'|'.join(longest_first)})") if added else None
+        #: Whether a token is its string and no more, so that a text may be cut at it.
+        self._exact = not any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
+
+    def encode_whole(self, text: str) -> bytes:
+        if self._cuts is None or not self._cuts.search(text):
+            return self.encode(text)
+        if self._exact:
+            return b"".join(self._added[x] if i % 2 else self.encode(x) for i, x in enumerate(self._cuts.split(text)))
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return np.asarray(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         easy = "'" not in text and not _SPACES.search(text) and (text.isascii() or not _ABOVE.search(text))
@@ -182,7 +200,7 @@ class _Packer:
 def pack(docs: DataFrame, id_column: str, text_column: str, tokenizer_path: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
     """One row per piece of a text's token stream, with its sequence and its place there.
 
-    A text's stream is the ids of its text and then end_id; a null or empty
+    A text's stream is the ids of its text, in which strings of the file's added tokens have their own ids, and then end_id; a null or empty
     text has end_id only. Streams fill windows of `capacity` tokens; what is left
     of each is cut into pieces of at most PIECE tokens, which differencing
     deals to near-equal windows, WINDOWS at a time. Each task packs the rows
@@ -215,7 +233,7 @@ def pack(docs: DataFrame, id_column: str, text_column: str, tokenizer_path: str,
         for batch in batches:
             kind = batch.schema.field("key").type
             for k, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                packer.add(k, tokenizer.encode(t.as_py() or "") + end)
+                packer.add(k, tokenizer.encode_whole(t.as_py() or "") + end)
                 if len(packer.rows) >= 2000:
                     yield out()
         packer.finish()

@@ -103,6 +103,37 @@ def test_ids_are_those_of_the_library(text):
     assert packing.ByteTokenizer(BYTE_BPE).encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+ADDED_TEXTS = ["", "a  b", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>don't", "x  <|endoftext|>\n\n 日本", "<|endoftext|", "<|endo<|endoftext|>text|>"]
+
+
+@pytest.mark.parametrize("strip", [False, True])
+def test_added_tokens_have_the_ids_of_the_library(tmp_path, strip):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0].update(lstrip=strip, rstrip=strip)
+    path = str(tmp_path / "tokenizer.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    library, own = Tokenizer.from_file(path), packing.ByteTokenizer(path)
+    for text in ADDED_TEXTS:
+        assert own.encode_whole(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_packing_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(ADDED_TEXTS)), "doc_id long, text string"), "doc_id", "text", BYTE_BPE).orderBy("doc_id", "start").collect()
+    for i, text in enumerate(ADDED_TEXTS):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        own = [r for r in pieces if r["doc_id"] == i]
+        assert b"".join(r["ids"] for r in own) == np.asarray(ids, "<u4").tobytes() and {r["doc_tokens"] for r in own} == {len(ids)}
+
+
 @pytest.mark.parametrize("limit", [0, 500_000])
 def test_exact_dedup(docs, texts, empty, odd, monkeypatch, limit):
     monkeypatch.setattr(dedup, "BROADCAST_GROUPS", limit)
