@@ -15,8 +15,6 @@ from .textscan import mix, text_bytes
 
 #: Labelled rows that the text model is fitted on, at most: those with the smallest hashes of their ids.
 TRAINING_ROWS = 4000
-#: Bytes of a training text that are read; whole texts are identified.
-TRAINING_BYTES = 20_000
 #: Places that byte trigrams are hashed to, as a power of two.
 BITS = 15
 SLICE = 1 << 20
@@ -67,30 +65,61 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (mix(code) >> np.uint64(64 - BITS)).astype(np.int64), owner[letter]
 
 
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a text's trigrams and how often each is met."""
+    return np.unique(trigrams(pa.array([text or ""], pa.large_string()))[0], return_counts=True)
+
+
 def fit(rows: list[tuple[str, str]]) -> TextModel:
     """Text model of (text, language) rows, with add-one smoothing."""
-    languages = sorted({y for _, y in rows})
+    return fit_counted((language, *counted(text)) for text, language in rows)
+
+
+def fit_counted(rows: Iterable[tuple[str, np.ndarray, np.ndarray]]) -> TextModel:
+    """Text model of (language, places, counts) rows."""
+    sums: dict[str, np.ndarray] = {}
+    for language, places, counts in rows:
+        sums.setdefault(language, np.ones(1 << BITS))[places] += counts
+    languages = sorted(sums)
     weights = np.zeros((len(languages), 1 << BITS), dtype=np.float32)
     for j, language in enumerate(languages):
-        counts = np.ones(1 << BITS)
-        for text, y in rows:
-            if y == language:
-                places, _ = trigrams(pa.array([text or ""], pa.large_string()))
-                counts += np.bincount(places, minlength=1 << BITS)
-        weights[j] = np.log(counts / counts.sum())
+        weights[j] = np.log(sums[language] / sums[language].sum())
     return TextModel(languages, weights)
 
 
 def train(labelled: DataFrame, id_column: str, text_column: str, language_column: str, most: int = TRAINING_ROWS) -> TextModel:
-    """Text model from `most` labelled rows at most; one task reads them and sends back 4 << BITS bytes a language."""
-    rows = labelled.filter(F.col(language_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), F.col(language_column).alias("language"), F.substring(text_column, 1, TRAINING_BYTES).alias("text"))
-    chosen = rows.orderBy(F.xxhash64("id"), "id", "language").limit(most)
+    """Text model from the whole texts of `most` labelled rows at most.
+
+    Trigrams are counted where the texts are read. One task adds up the counts (10 bytes for each
+    of a text's places) and sends back 4 << BITS bytes a language.
+    """
+    rows = labelled.filter(F.col(language_column).isNotNull()).select(
+        F.col(id_column).cast("string").alias("id"), F.col(language_column).alias("language"), F.col(text_column).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("hash")
+    )
+    last = rows.select("hash").orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    if last is None:
+        return fit([])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                found = [counted(t.as_py()) for t in part.column("text")]
+                grams = [(places.astype("<u2").tobytes(), counts.astype("<u8").tobytes()) for places, counts in found]
+                columns = [pa.array([g[i] for g in grams], pa.binary()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hash", "id", "language")), *columns], ["hash", "id", "language", "places", "counts"])
+
+    sampled = rows.filter(F.col("hash") <= last).mapInArrow(count, "hash long, id string, language string, places binary, counts binary")
+    chosen = sampled.orderBy("hash", "id", "language", "places", "counts").limit(most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fit([r for b in batches for r in zip(b.column("text").to_pylist(), b.column("language").to_pylist(), strict=True)])
+        model = fit_counted(
+            (language.as_py(), np.frombuffer(places.as_py(), "<u2"), np.frombuffer(counts.as_py(), "<u8"))
+            for b in batches
+            for language, places, counts in zip(b.column("language"), b.column("places"), b.column("counts"), strict=True)
+        )
         yield pa.RecordBatch.from_arrays([pa.array(model.languages, pa.string()), pa.array([w.astype("<f4").tobytes() for w in model.weights], pa.binary())], ["language", "weights"])
 
-    found = sorted(chosen.select("text", "language").coalesce(1).mapInArrow(run, "language string, weights binary").collect())
+    found = sorted(chosen.select("language", "places", "counts").coalesce(1).mapInArrow(run, "language string, weights binary").collect())
     return TextModel([r[0] for r in found], np.asarray([np.frombuffer(r[1], "<f4") for r in found], dtype=np.float32).reshape(len(found), 1 << BITS))
 
 

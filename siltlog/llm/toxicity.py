@@ -16,8 +16,6 @@ from .textscan import ALNUM, mix, text_bytes, words
 BITS = 18
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 TRAINING_ROWS = 10_000
-#: Bytes of a training text that are read; scores are of whole texts.
-TRAINING_BYTES = 100_000
 EPOCHS = 3
 ALPHA, BETA, L2 = 0.5, 1.0, 0.1
 #: L1 for each training row: gradients add up over rows, and so does what they have to exceed.
@@ -70,22 +68,45 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+def packed(at: np.ndarray, bits: int = BITS) -> bytes:
+    """A text's features: 4 bytes each, or a bitmap of all places where that is not larger (32 kB for 18 bits)."""
+    if 32 * len(at) < 1 << bits:
+        return at.astype("<i4").tobytes()
+    marks = np.zeros(1 << bits, dtype=bool)
+    marks[at] = True
+    return np.packbits(marks).tobytes()
+
+
+def unpacked(data: bytes, bits: int = BITS) -> np.ndarray:
+    if 8 * len(data) < 1 << bits:
+        return np.frombuffer(data, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+
+
+def packed_features(column: pa.Array, bits: int = BITS) -> list[bytes]:
+    """The packed features of each text."""
+    at, owner = features(column, bits)
+    ends = np.searchsorted(owner, np.arange(len(column) + 1))
+    return [packed(at[a:b], bits) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def fit(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights, the intercept last, from (text, label). Both labels count alike in sum; the order of rows doesn't matter, as they are shuffled by a fixed seed after sorting."""
-    rows = sorted((t or "", int(y)) for t, y in rows)
+    """Weights, the intercept last, from (text, label)."""
+    return fit_packed([(packed_features(pa.array([t or ""], pa.large_string()), bits)[0], int(y)) for t, y in rows], bits, epochs)
+
+
+def fit_packed(rows: list[tuple[bytes, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights from (packed features, label). Both labels count alike in sum; the order of rows doesn't matter, as they are shuffled by a fixed seed after sorting."""
+    rows = sorted(rows)
     model = Ftrl(1 << bits, l1=L1_A_ROW * len(rows))
     positive = sum(y for _, y in rows)
     if 0 < positive < len(rows):
         weight = {1: min(5.0, len(rows) / (2 * positive)), 0: len(rows) / (2 * (len(rows) - positive))}
         order = np.random.default_rng(0).permutation(len(rows))
-        examples = []
-        for i in order:
-            text, label = rows[i]
-            at, _ = features(pa.array([text.encode()[:TRAINING_BYTES].decode("utf-8", "ignore")], pa.large_string()), bits)
-            examples.append((at.astype(np.int32), label))
         for _ in range(epochs):
-            for at, label in examples:
-                model.learn(at, label, weight[label])
+            for i in order:
+                data, label = rows[i]
+                model.learn(unpacked(data, bits), label, weight[label])
     return model.all_weights()
 
 
@@ -96,23 +117,34 @@ def score(column: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, id_column: str, text_column: str, label_column: str, most: int = TRAINING_ROWS) -> np.ndarray:
-    """Weights from `most` labelled rows at most, those with the smallest hashes of their ids.
+    """Weights from the whole texts of `most` labelled rows at most, those with the smallest hashes of their ids.
 
-    The rows go to one task, which sends back the weights only (4 << BITS bytes).
+    Texts become features where they are read. These go to one task, at most 4 bytes a feature and
+    32 kB a text, which sends back the weights only (4 << BITS bytes).
     """
     rows = labelled.filter(F.col(label_column).isNotNull()).select(
-        F.substring(F.col(text_column), 1, TRAINING_BYTES).alias("text"),
+        F.col(text_column).alias("text"),
         F.col(label_column).cast("int").alias("label"),
         F.xxhash64(F.col(id_column).cast("string")).alias("place"),
     )
-    chosen = rows.orderBy("place", "text", "label").limit(most)
+    last = rows.select("place").orderBy("place").limit(most).agg(F.max("place")).first()[0]
+    if last is None:
+        return fit([])
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(packed_features(part.column(0)), pa.binary()), part.column(1), part.column(2)], ["features", "label", "place"])
+
+    encoded = rows.filter(F.col("place") <= last).mapInArrow(encode, "features binary, label int, place long")
+    chosen = encoded.orderBy("place", "features", "label").limit(most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [r for b in batches for r in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True)]
-        weights = fit(seen)
+        seen = [r for b in batches for r in zip(b.column("features").to_pylist(), b.column("label").to_pylist(), strict=True)]
+        weights = fit_packed(seen)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary())], ["weights"])
 
-    found = chosen.select("text", "label").coalesce(1).mapInArrow(run, "weights binary").collect()
+    found = chosen.select("features", "label").coalesce(1).mapInArrow(run, "weights binary").collect()
     return np.frombuffer(found[0]["weights"], dtype="<f4") if found else fit([])
 
 

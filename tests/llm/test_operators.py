@@ -169,6 +169,34 @@ def test_toxicity(spark, docs, texts, empty, odd):
     assert (toxicity.train(labelled.limit(0), "doc_id", "text", "toxic") == 0).all()
 
 
+def test_whole_training_texts_are_learnt_from(spark):
+    toxic = F.col("doc_id") % 2
+    long = F.concat(F.repeat(F.lit("plain "), 17_000), F.when(toxic == 1, "idiot").otherwise("friend"))
+    rows = spark.range(120).withColumnRenamed("id", "doc_id").withColumn("text", long).withColumn("toxic", toxic.cast("int"))
+    clean, bad = toxicity.score(pa.array(["plain friend", "plain idiot"], pa.large_string()), toxicity.train(rows, "doc_id", "text", "toxic"))
+    assert clean < 0.5 < bad
+    last = F.concat(F.repeat(F.lit("1 "), 10_001), F.when(toxic == 1, "der garten und die").otherwise("the garden and this"))
+    rows = rows.withColumn("text", last).withColumn("lang", F.when(toxic == 1, "de").otherwise("en"))
+    model = language.train(rows, "doc_id", "text", "lang")
+    assert [model.languages[j] for j in model.score(pa.array(["und der garten", "this and the garden"], pa.large_string()))[0].argmax(axis=1)] == ["de", "en"]
+    whole = language.fit([(r["text"], r["lang"]) for r in rows.collect()])
+    assert model.languages == whole.languages and (model.weights == whole.weights).all()
+
+
+def test_training_sample_is_bounded(spark):
+    rows = spark.createDataFrame([(i if i else None, f"some words {i}", i % 2, "en") for i in [*range(50), 0, 0]], "doc_id long, text string, toxic int, lang string")
+    order = sorted(rows.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text", "toxic").collect())
+    assert (toxicity.train(rows, "doc_id", "text", "toxic", most=20) == toxicity.fit([(r["text"], r["toxic"]) for r in order[:20]])).all()
+    assert (language.train(rows, "doc_id", "text", "lang", most=20).weights == language.fit([(r["text"], "en") for r in order[:20]]).weights).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 8191, 8192, 1 << 18])
+def test_packed_features_come_back(n):
+    at = np.sort(np.random.default_rng(n).permutation(1 << 18)[:n])
+    data = toxicity.packed(at)
+    assert (toxicity.unpacked(data) == at).all() and len(data) <= 1 << 15
+
+
 def test_token_count(docs, texts, empty, odd):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
