@@ -106,7 +106,9 @@ def count_tokens(docs: DataFrame, id_column: str, text_column: str, model_path:
     The tokenizer is a unigram model whose pieces and scores are those of the SentencePiece file.
     Each word's matches are enumerated by an Aho-Corasick automaton, and
     dynamic programming carries the best score and its number of pieces; no
-    segmentation is built. A null or empty text has none. Equal rows and rows with null ids
+    segmentation is built. Texts are split at every space, and each word, with the space ahead of it, is searched alone:
+    a piece with a space after its first character is never matched. In piece_bpe_32k.model these
+    are the 14 runs of two or more spaces, so a run of n spaces counts as about n pieces. A null or empty text has none. Equal rows and rows with null ids
     are treated like others; other columns aren't read.
     """
     kind = docs.schema[id_column].dataType.simpleString()
