@@ -346,7 +346,8 @@ def similar_components(docs: DataFrame, id_column: str, text_column: str) -> Dat
     A text's set is of its distinct runs of SHINGLE words (words are runs of characters other
     than white space, A-Z lower-cased). Two texts link if PERCENT hundredths of the shingles that either has
     are shared. component_id is the smallest id that links lead to, or the
-    row's own. Texts with equal sets are one class, of which only the smallest id takes
+    row's own. Components are exact, but links are not given, nor a row's number of them: pairs
+    already in one component are not verified, and verified links are thinned to forests. Texts with equal sets are one class, of which only the smallest id takes
     part in the join. A null text, or one without words, links with nothing. Ids
     are integers; a row with a null id has no component; rows that share an id have the
     smallest component of any of them. An empty table gives no rows; other
