@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import logging
+import math
 import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
@@ -37,9 +38,12 @@ class StoreError(Exception):
         self.code = code
 
 
+BLOOM_BYTES = 8 << 20
+
+
 @dataclass(frozen=True)
 class Options:
-    """Limits of the tail and levels, and what an open expects. bloom_bits: bits a key of a run's filter, 1 to 64."""
+    """Limits of the tail and levels, and what an open expects. bloom_bits: bits a key of a run's filter, 1 to 64; Parquet rounds a filter to a power of two of at most BLOOM_BYTES a row group."""
 
     policy: Policy = field(default_factory=Policy)
     bloom_bits: int = 10
@@ -374,6 +378,8 @@ class Store:
         number = self.manifest.next_number
         path = f"runs/run_{number:06d}"
         self.files.delete(path)
+        # what a split-block filter with so many bits a key errs at; Parquet derives sizes from it
+        wrong = (1 - math.exp(-8 / self.options.bloom_bits)) ** 8
         n_files = max(1, sum(r.size for r in inputs) // (128 << 20))
         writer = (
             rows.select("k", "seq", "deleted", "v")
@@ -381,7 +387,10 @@ class Store:
             .sortWithinPartitions("k", F.col("seq").desc())
             .write.mode("overwrite")
             .option("parquet.bloom.filter.enabled#k", "true")
-            .option("parquet.bloom.filter.adaptive.enabled#k", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("parquet.bloom.filter.fpp#k", repr(wrong))
+            .option("parquet.bloom.filter.candidates.number#k", "15")
+            .option("parquet.bloom.filter.max.bytes", str(BLOOM_BYTES))
         )
         writer.parquet(f"{self.path}/{path}")
         run, _ = self._describe(number, level, path)

@@ -98,6 +98,17 @@ def test_bulk_load_and_streaming_ingest(spark, tmp_path):
         assert rows(store.view()) == expected and store.manifest.last_sequence == 200
 
 
+def test_bloom_bits_set_the_size_of_filters(spark, tmp_path):
+    frame = spark.range(0, 4000, 1, 1).select(F.col("id").alias("event_id"), F.md5(F.col("id").cast("string")).alias("k"), F.lit(False).alias("deleted"), F.lit("v").alias("v"))
+    sizes = []
+    for bits in (4, 32):
+        with Store(spark, str(tmp_path / str(bits)), Options(bloom_bits=bits)) as store:
+            store.load(frame, ["event_id"])
+            assert store.get("cfcd208495d565ef66e7dff9f98764da") == b"v"
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / str(bits)).rglob("*.parquet")))
+    assert 12_000 < sizes[1] - sizes[0] < 20_000  # 2 kB and 16 kB
+
+
 def test_random_operations_against_a_dictionary(spark, tmp_path):
     rng = random.Random(20)
     model, path, pins = {}, str(tmp_path / "t"), []
