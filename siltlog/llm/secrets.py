@@ -215,9 +215,14 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"], x["end"])), ",")
 
 
+def _count(kind: int) -> Column:
+    # one parameter only: Spark gives a second one the element's index, whatever its default is
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents."""
     found = find_secrets(table(spark, sf_dir, "documents"), "doc_id", "text")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS)]
     base = F.sha2(_joined(F.filter("spans", lambda x: x["kind"] < 3)), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
