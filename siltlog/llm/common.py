@@ -7,11 +7,12 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids (8 bytes each) that may be broadcast; larger sets are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+_INFER = "spark.sql.constraintPropagation.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that the driver and all executors see, from spark.checkpoint.dir; where that is unset, a temporary one on a local master and an error on a cluster."""
     context = spark.sparkContext
     given = context.getConf().get("spark.checkpoint.dir")
     if given is None:
         given = context.getCheckpointDir()
     if given is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="siltlog-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(given)
@@ -32,19 +35,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that a lost executor loses none of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and kept in the shared folder, so that a lost executor loses none of it.
+
+    A checkpoint keeps what the optimizer has inferred of its columns, which doubles with each
+    round of a loop over cut tables; so nothing is inferred here.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_INFER)
+    spark.conf.set(_INFER, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_INFER, before)
+
+
+def near(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A cut table as the side of a join on its own unique keys: broadcast up to `limit` rows, merged with a shuffle beyond."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_IDS if limit is None else limit) else df.hint("merge")
+
+
+def digest(*columns: Column) -> Column:
+    """A 64-bit digest of a row's columns, by which rows with the same id are told apart; nulls differ from empty strings."""
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
 
 
-def semi_or_anti(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
-    """Join `how` (left_semi, left_anti) of df with ids, a cut table of distinct keys.
+def drop_rows(docs: DataFrame, gone: DataFrame, id_column: str, *columns: str) -> DataFrame:
+    """docs without the rows whose id and digest() of `columns` are in gone (id, digest); rows with a null id stay.
 
-    The keys are counted first. Up to `limit` of them are broadcast, so that
-    the wide rows of df stay where they are; more are joined by a shuffle.
+    The decision is one of rows: of two rows with one id only those go whose own
+    columns were judged so.
     """
-    small = ids.count() <= limit
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
+    key, mark = (fresh_name(docs.columns, x) for x in ("gone_id", "gone_digest"))
+    away = near(cut(gone.filter("id is not null").select(F.col("id").alias(key), F.col("digest").alias(mark)).distinct()))
+    same = (docs[id_column] == F.col(key)) & (digest(*[docs[c] for c in columns]) == F.col(mark))
+    return docs.join(away, same, "left_anti")
 
 
 def fresh_name(columns: Iterable[str], name: str) -> str:

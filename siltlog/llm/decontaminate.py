@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, semi_or_anti, slices, table
+from .common import digest, drop_rows, slices, table
 from .textscan import ALNUM, Words, text_bytes, words
 
 WINDOW = 10
@@ -195,9 +195,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_column: str, text_c
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """docs without the rows in which a window of the benchmark occurs; rows with a null id stay."""
-    hit = find_benchmark(docs, benchmark, id_column, text_column).filter("n_hit > 0").select(id_column).filter(F.col(id_column).isNotNull()).distinct()
-    return semi_or_anti(docs, cut(hit), id_column, "left_anti")
+    """docs without the rows in which a window of the benchmark occurs.
+
+    Of rows that share an id each is judged by its own text; rows with a null id stay, and so do null and empty texts. An empty table
+    stays empty, and docs' columns may have any names.
+    """
+    rows = docs.select(F.struct(docs[id_column].alias("id"), digest(docs[text_column]).alias("digest")).alias("row"), docs[text_column].alias("text"))
+    hit = find_benchmark(rows, benchmark, "row", "text").filter("n_hit > 0")
+    return drop_rows(docs, hit.select("row.id", "row.digest"), id_column, text_column)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

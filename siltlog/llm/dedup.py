@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, semi_or_anti, table
+from .common import cut, digest, drop_rows, near, table
 
 #: Characters of the normalised text that the second refinement looks at.
 PREFIX = 256
@@ -21,7 +21,30 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_column: str, text_column: str, digest: str | None = None) -> DataFrame:
+def _decided(docs: DataFrame, id_column: str, text_column: str, hash_all: bool) -> DataFrame:
+    """One row per row of docs: id, digest (of the original text), keep_id, group_size, kept, sha; see exact_dedup()."""
+    text = F.coalesce(docs[text_column], F.lit(""))
+    clean = docs.select(docs[id_column].alias("id"), digest(docs[text_column]).alias("digest"), F.length(text).alias("points"), normalised(text).alias("clean"))
+    signed = clean.select("id", "digest", "points", "clean", F.octet_length("clean").alias("size"), F.xxhash64(F.substring("clean", 1, PREFIX)).alias("prefix"))
+    shared = cut(signed.groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("size", "prefix", F.lit(True).alias("shared")))
+    full = F.sha2("clean", 256)
+    if shared.count() <= BROADCAST_GROUPS:
+        found = signed.join(F.broadcast(shared), ["size", "prefix"], "left").select("id", "digest", "points", "shared", (full if hash_all else F.when(F.col("shared"), full)).alias("sha"))
+    else:  # the hash goes ahead of the shuffle, so that no text is shuffled
+        found = signed.select("id", "digest", "points", "size", "prefix", full.alias("sha")).join(shared.hint("merge"), ["size", "prefix"], "left")
+    found = cut(found.select("id", "digest", "points", F.coalesce("shared", F.lit(False)).alias("shared"), "sha"))
+    rest = found.filter("shared")
+    best = F.min(F.struct(-F.col("points"), F.col("id").isNull(), F.col("id").alias("keep_id"))).alias("best")
+    groups = cut(rest.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
+    joined = rest.join(near(groups, BROADCAST_GROUPS), "sha", "left")
+    kept = F.col("best").isNull() | ((F.col("best")["col1"] == -F.col("points")) & F.col("best.keep_id").eqNullSafe(F.col("id")))
+    keep_id = F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.keep_id"))
+    grouped = joined.select("id", "digest", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), kept.alias("kept"), "sha")
+    alone = found.filter("not shared").select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    return alone.unionByName(grouped)
+
+
+def exact_dedup(docs: DataFrame, id_column: str, text_column: str, sha: str | None = None) -> DataFrame:
     """One row per row of docs: the id, keep_id, group_size, kept.
 
     Texts are equal if they are identical after normalised(). Rows are refined by
@@ -30,43 +53,27 @@ def exact_dedup(docs: DataFrame, id_column: str, text_column: str, digest: str |
     whose length and prefix hash another row shares. Of a group the text with
     the most code points stays, then that with the smallest id.
 
-    With `digest`, that column has the hash of every row's normalised text, for
+    With `sha`, that column has the hash of every row's normalised text, for
     which the rest is hashed too. A null text equals an empty one. Rows with
-    equal ids are kept or dropped together if their texts are equal; a null id comes
+    equal ids whose texts are equal and have as many code points are kept or dropped together; a null id comes
     after all others. Other columns aren't read; no rows give no rows.
     """
-    text = F.coalesce(docs[text_column], F.lit(""))
-    clean = docs.select(docs[id_column].alias("id"), F.length(text).alias("points"), normalised(text).alias("clean"))
-    signed = clean.select("id", "points", "clean", F.octet_length("clean").alias("size"), F.xxhash64(F.substring("clean", 1, PREFIX)).alias("prefix"))
-    shared = cut(signed.groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("size", "prefix", F.lit(True).alias("shared")))
-    full = F.sha2("clean", 256)
-    if shared.count() <= BROADCAST_GROUPS:
-        found = signed.join(F.broadcast(shared), ["size", "prefix"], "left").select("id", "points", "shared", (full if digest else F.when(F.col("shared"), full)).alias("sha"))
-    else:  # the hash goes ahead of the shuffle, so that no text is shuffled
-        found = signed.select("id", "points", "size", "prefix", full.alias("sha")).join(shared.hint("merge"), ["size", "prefix"], "left")
-    found = cut(found.select("id", "points", F.coalesce("shared", F.lit(False)).alias("shared"), "sha"))
-    rest = found.filter("shared")
-    best = F.min(F.struct(-F.col("points"), F.col("id").isNull(), F.col("id").alias("keep_id")))
-    groups = rest.groupBy("sha").agg(best["keep_id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = cut(groups.filter("group_size > 1"))
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups.hint("merge")
-    columns = ["id", "keep_id", "group_size", *(["sha"] if digest else [])]
-    alone = found.filter("not shared").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha").select(columns)
-    grouped = rest.join(groups, "sha", "left").select("id", "sha", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
-    out = alone.unionByName(grouped.select(columns))
-    out = out.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("id", id_column)
-    return out.withColumnRenamed("sha", digest) if digest else out
+    out = _decided(docs, id_column, text_column, sha is not None).drop("digest").withColumnRenamed("id", id_column)
+    return out.withColumnRenamed("sha", sha) if sha else out.drop("sha")
 
 
 def drop_copies(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; rows with a null id stay."""
-    losers = exact_dedup(docs, id_column, text_column).filter("not kept").select(id_column).filter(F.col(id_column).isNotNull()).distinct()
-    return semi_or_anti(docs, cut(losers), id_column, "left_anti")
+    """docs without the rows that exact_dedup() does not keep.
+
+    Of rows that share an id each is judged by its own text; rows with a null id stay. An empty table stays empty, and docs'
+    columns may have any names.
+    """
+    return drop_rows(docs, _decided(docs, id_column, text_column, False).filter("not kept"), id_column, text_column)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the copy of each that stays."""
-    return exact_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", digest="text_sha256")
+    return exact_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", sha="text_sha256")
 
 
 OP2_SQL = """

@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, semi_or_anti, slices, table
+from .common import cut, digest, drop_rows, near, slices, table
 from .textscan import NOT_SPACE, mix, text_bytes, words
 
 SHINGLE = 5
@@ -18,14 +18,28 @@ PERCENT = 80
 SLICE = 4 << 20
 #: Shingles of a group that one task sorts, about.
 GROUP = 1 << 20
+#: One in so many shingles is sampled to find those that too many texts have for one group.
+SAMPLE = 4096
+#: Common shingles that are broadcast, at most: those that this share of all shingles are.
+COMMON_SHARE = 1_000_000
+#: The document frequency of all of these: above every other.
+COMMON = (1 << 32) - 1
 #: Bits of a shingle's hash that are shuffled.
 KEPT_BITS = 48
+#: Longs of the bitmap of a set in which each shingle flips a bit, and of those in which each token of a prefix sets one.
+ODD, MARKS = 8, 4
+#: Entries of a token that one task tries, about.
+BLOCK = 4096
 #: Sets of each shingle that all others of it are tried with in a round.
-PARTNERS = 12
+PARTNERS = 6
 #: Rounds with such partners, at most, before all remaining pairs are tried.
 ROUNDS = 2
 #: Remaining pairs for each entry of the index below which no further round is run.
 PAIRS_AN_ENTRY = 1
+#: Sets that a task holds by number, so as to tell which are connected.
+HELD_SETS = 500_000
+#: Keys of sets that a task remembers, so as not to send equal sets again.
+HELD_KEYS = 200_000
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,35 +72,49 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return out[keep], np.bincount(owner[keep], minlength=len(column)).astype(np.int64)
 
 
-def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The size of each text's set, and two sums that equal sets share."""
-    for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            sets, n = shingle_sets(part.column(1))
-            edge = np.concatenate([[0], np.cumsum(n)])
-            sums = []
-            for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(salt)), dtype=np.uint64)])
-                sums.append((run[edge[1:]] - run[edge[:-1]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1])], ["id", "n", "a", "b"])
-
-
-def _pack(groups: np.ndarray, n_groups: int, columns: list[np.ndarray], ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Entries dealt to groups as bytes: a table of their documents (ids, sizes), and each entry's document and columns."""
+def _keys(sets: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set, from two sums over its hashes."""
+    edge = np.concatenate([[0], np.cumsum(n)])
+    sums = []
+    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(salt)), dtype=np.uint64)])
+        sums.append(run[edge[1:]] - run[edge[:-1]])
+    return mix(sums[0] ^ mix(sums[1] + n.astype(np.uint64))).view(np.int64)
+
+
+def _signatures(rate: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The size and key of each text's set, and a sample of its shingles: about one in `rate`, which differ from text to text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                sets, n = shingle_sets(part.column(2))
+                keys = _keys(sets, n)
+                kept = sets >> np.uint64(64 - KEPT_BITS)
+                drawn = mix(kept ^ np.repeat(keys.view(np.uint64), n)) < np.uint64((1 << 64) // rate - 1)
+                count = np.bincount(np.repeat(np.arange(len(n)), n)[drawn], minlength=len(n))
+                sample = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(kept[drawn].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(keys), sample], ["id", "digest", "n", "key", "sample"])
+
+    return run
+
+
+def _pack(groups: np.ndarray, n_groups: int, columns: list[np.ndarray], keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Entries dealt to groups as bytes: a table of their sets (keys, sizes), and each entry's set and columns."""
     order = np.argsort(groups, kind="stable")
     edges = np.searchsorted(groups[order], np.arange(n_groups + 1))
     for g in np.flatnonzero(np.diff(edges)):
         at = order[edges[g] : edges[g + 1]]
         docs, own = np.unique(owner[at], return_inverse=True)
         head = np.asarray([len(docs), len(at)], dtype="<i8").tobytes()
-        body = [ids[docs].astype("<i8").tobytes(), sizes[docs].astype("<i4").tobytes(), own.astype("<u2" if len(docs) < 65536 else "<u4").tobytes()]
+        body = [keys[docs].astype("<i8").tobytes(), sizes[docs].astype("<i4").tobytes(), own.astype("<u2" if len(docs) < 65536 else "<u4").tobytes()]
         hashes = np.ascontiguousarray(columns[0][at].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : KEPT_BITS // 8].tobytes()
         yield int(g), b"".join([head, *body, hashes, *(c[at].astype("<u4").tobytes() for c in columns[1:])])
 
 
-def _unpack(blobs: pa.ChunkedArray, extra: int) -> tuple[np.ndarray, ...]:
-    """ids, sizes, hashes and further columns of all entries of a group."""
-    parts = []
+def _unpack(blobs: pa.ChunkedArray, extra: int, once: bool) -> tuple[np.ndarray, ...]:
+    """keys, sizes, hashes and further columns of all entries of a group; with `once`, those of the first blob that has a set only."""
+    tables, parts = [], []
     for blob in blobs:
         raw = blob.as_py()
         docs, n = np.frombuffer(raw, "<i8", 2)
@@ -98,44 +126,78 @@ def _unpack(blobs: pa.ChunkedArray, extra: int) -> tuple[np.ndarray, ...]:
             at += out.nbytes
             return out
 
-        ids, sizes = take("<i8", docs), take("<i4", docs)
+        keys, sizes = take("<i8", docs), take("<i4", docs)
         own = take("<u2" if docs < 65536 else "<u4", n)
         wide = np.zeros((n, 8), dtype=np.uint8)
         wide[:, : KEPT_BITS // 8] = take("u1", n * KEPT_BITS // 8).reshape(n, -1)
-        parts.append((ids[own], sizes[own], wide.view("<u8").reshape(-1), *(take("<u4", n) for _ in range(extra))))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        tables.append(keys)
+        parts.append((own, keys, sizes, wide.view("<u8").reshape(-1), *(take("<u4", n) for _ in range(extra))))
+    if once:
+        first = np.zeros(sum(map(len, tables)), dtype=bool)
+        first[np.unique(np.concatenate(tables), return_index=True)[1]] = True
+        flags = np.split(first, np.cumsum([len(t) for t in tables])[:-1])
+    else:
+        flags = [np.ones(len(t), dtype=bool) for t in tables]
+    out = []
+    for flag, (own, keys, sizes, *columns) in zip(flags, parts, strict=True):
+        if not flag.all():
+            keep = flag[own]
+            own, columns = own[keep], [c[keep] for c in columns]
+        out.append((keys[own], sizes[own], *columns))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _spread(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shingles of each text, dealt to ranges of their hashes."""
+def _spread(bits: int, common: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Shingles of each set, dealt to ranges of their hashes; common ones to groups of sets, which come after the ranges. A task sends equal sets once, as far as it remembers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                sets, n = shingle_sets(part.column(1))
-                kept = sets >> np.uint64(64 - KEPT_BITS)
+                sets, n = shingle_sets(part.column(0))
+                keys = _keys(sets, n)
+                new = np.zeros(len(n), dtype=bool)
+                for i in np.unique(keys, return_index=True)[1].tolist():
+                    if int(keys[i]) not in seen:
+                        new[i] = True
+                        seen.add(int(keys[i]))
+                if len(seen) > HELD_KEYS:
+                    seen.clear()
                 owner = np.repeat(np.arange(len(n)), n)
-                out = list(_pack((sets >> np.uint64(64 - bits)).astype(np.int64), 1 << bits, [kept], part.column(0).to_numpy(zero_copy_only=False), n, owner))
+                sets, owner = sets[new[owner]], owner[new[owner]]
+                kept = sets >> np.uint64(64 - KEPT_BITS)
+                group = (sets >> np.uint64(64 - bits)).astype(np.int64)
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, kept), len(common) - 1)
+                    group = np.where(common[place] == kept, (1 << bits) + _home(keys, bits)[owner], group)
+                out = list(_pack(group, 2 << bits, [kept], keys, n, owner))
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "blob"])
 
     return run
 
 
+def _home(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The group that a set's shared shingles meet in."""
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _shared(bits: int) -> Callable[[pa.Table], pa.Table]:
-    """Of the shingles in a range those that more than one text has, with how many have them, dealt to groups of texts."""
+    """Of the shingles in a range those that more than one set has, with how many have them, dealt to groups of sets. Common ones go on as they are."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, sizes, h = _unpack(group["blob"], 0)
-        order = np.argsort(h, kind="stable")
-        ids, sizes, h = ids[order], sizes[order], h[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        n = np.diff(np.append(first, len(h)))
-        df = np.repeat(n, n)
-        keep = df > 1
-        ids, sizes, h, df = ids[keep], sizes[keep], h[keep], df[keep]
-        docs, at, own = np.unique(ids, return_index=True, return_inverse=True)
-        home = (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-        out = list(_pack(home, 1 << bits, [h, df], docs, sizes[at], own))
+        keys, sizes, h = _unpack(group["blob"], 0, once=True)
+        if group["part"][0].as_py() >> bits:
+            df = np.full(len(h), COMMON, dtype=np.int64)
+        else:
+            order = np.argsort(h, kind="stable")
+            keys, sizes, h = keys[order], sizes[order], h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(first, len(h)))
+            df = np.repeat(n, n)
+            keep = df > 1
+            keys, sizes, h, df = keys[keep], sizes[keep], h[keep], df[keep]
+        docs, at, own = np.unique(keys, return_index=True, return_inverse=True)
+        out = list(_pack(_home(docs, bits)[own], 1 << bits, [h, df], docs, sizes[at], own))
         return pa.table({"part": pa.array([g for g, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     return run
@@ -149,20 +211,31 @@ def needed(n: int, percent: int = PERCENT) -> int:
 _ORDERS = (np.uint64(0xA4093822299F31D0), np.uint64(0x082EFA98EC4E6C89))
 
 
+def _bitmap(hashes: np.ndarray, owner: np.ndarray, n: int, longs: int, flip: bool) -> np.ndarray:
+    """For each of n sets a bitmap in which each of its hashes flips or sets a bit."""
+    place = mix(hashes ^ np.uint64(0x452821E638D01377)) % np.uint64(64 * longs)
+    out = np.zeros(n * longs, dtype=np.uint64)
+    (np.bitwise_xor if flip else np.bitwise_or).at(out, owner * longs + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out.reshape(n, longs).view(np.int64)
+
+
+BITMAPS = [*(f"odd{i}" for i in range(ODD)), *(f"two{i}" for i in range(MARKS)), *(f"three{i}" for i in range(MARKS))]
+
+
 def _prefixes(group: pa.Table) -> pa.Table:
-    """What can link of each text: its shared shingles, and those in its prefix under each order.
+    """What can link of each set: its shared shingles, its prefix in the first order, and bitmaps of its prefixes in the others and of all shared shingles.
 
-    In every order shingles of a single text come first; then, in the first, those that fewer
-    texts have, and in the others those whose hashes are lower under a salt. A set of
+    In every order shingles of a single set come first; then, in the first, those that fewer
+    sets have, and in the others those whose hashes are lower under a salt. A set of
     n shares at least needed(n), so the first n - needed(n) + 1 of it, in
-    any one order for all texts, have one that its partner's first have too. Texts whose first are all
+    any one order for all sets, have one that its partner's first have too. Sets whose first are all
     their own link with nothing.
     """
-    ids, sizes, h, df = _unpack(group["blob"], 1)
-    order = np.lexsort((h, ids))
-    ids, sizes, h, df = ids[order], sizes[order], h[order], df[order]
-    edge = np.append(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])), len(ids))
-    rows = []
+    keys, sizes, h, df = _unpack(group["blob"], 1, once=False)
+    order = np.lexsort((h, keys))
+    keys, sizes, h, df = keys[order], sizes[order], h[order], df[order]
+    edge = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+    rows, prefixes = [], ([], [])
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         n = int(sizes[a])
         first = n - needed(n) + 1 - (n - int(b - a))
@@ -170,11 +243,19 @@ def _prefixes(group: pa.Table) -> pa.Table:
             continue
         own = h[a:b]
         one = own[np.lexsort((own, df[a:b]))[:first]]
-        others = [np.sort(own[np.argsort(mix(own ^ salt), kind="stable")[:first]]) for salt in _ORDERS]
-        rows.append((int(ids[a]), n, own.tobytes(), one.astype(np.int64), *(x.tobytes() for x in others)))
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    return pa.table({k: pa.array(list(c), t) for k, c, t in zip(["id", "n", "shared", "one", "two", "three"], columns, kinds, strict=True)})
+        for found, salt in zip(prefixes, _ORDERS, strict=True):
+            found.append(own[np.argsort(mix(own ^ salt), kind="stable")[:first]])
+        rows.append((int(keys[a]), n, n - len(own), own.tobytes(), one.astype(np.int64)))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    out = {k: pa.array(list(c), t) for k, c, t in zip(["key", "n", "own", "shared", "one"], columns, kinds, strict=True)}
+    whole = [np.frombuffer(r[3], "<u8") for r in rows]
+    maps = [_bitmap(_joined(x), np.repeat(np.arange(len(rows)), [len(y) for y in x]), len(rows), longs, flip) for x, longs, flip in ((whole, ODD, True), (prefixes[0], MARKS, False), (prefixes[1], MARKS, False))]
+    return pa.table(out | dict(zip(BITMAPS, map(pa.array, np.concatenate(maps, axis=1).T), strict=True)))
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
 
 
 def _meet(a: bytes, b: bytes) -> int:
@@ -186,8 +267,8 @@ def _meet(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def _forest(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """As few of the links as connect the same ids."""
+def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect what the pairs connect that are as similar as asked for: from the smallest set of each component that the task finds to the others. Pairs that are connected already aren't compared."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -195,79 +276,67 @@ def _forest(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
             root[x] = x = root.setdefault(up, up)
         return x
 
-    out = []
-    for u, v in links:
-        a, b = find(u), find(v)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((u, v))
-    return out
-
-
-#: Links of a task that are held to thin them out to a forest.
-HELD_LINKS = 200_000
-
-
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs that share a token under the other orders too, and then are as similar as asked for, a forest that connects the same ids."""
-    links: list[tuple[int, int]] = []
-
-    def out() -> pa.RecordBatch:
-        u, v = zip(*_forest(links), strict=True) if links else ((), ())
+    def stars() -> pa.RecordBatch:
+        links = [(r, x) for x in list(root) if (r := find(x)) != x]
+        u, v = zip(*links, strict=True) if links else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     for batch in batches:
         for x in batch.to_pylist():
-            if _meet(x["two"], x["v_two"]) and _meet(x["three"], x["v_three"]):
-                both = _meet(x["shared"], x["v_shared"])
-                if 100 * both >= PERCENT * (x["n"] + x["v_n"] - both):
-                    links.append((x["u"], x["v"]))
-        if len(links) > HELD_LINKS:
-            yield out()
-            links = []
-    yield out()
+            a, b = find(x["u"]), find(x["v"])
+            if a == b:
+                continue
+            both = _meet(x["shared"], x["v_shared"])
+            if 100 * both >= PERCENT * (x["n"] + x["v_n"] - both):
+                root[max(a, b)] = min(a, b)
+        if len(root) > HELD_SETS:
+            yield stars()
+            root.clear()
+    yield stars()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) among the pairs that connect what all links among them connect."""
-    a = sets.select(F.col("id").alias("u"), "n", "shared", "two", "three")
-    b = sets.select(F.col("id").alias("v"), *(F.col(c).alias(f"v_{c}") for c in ("n", "shared", "two", "three")))
+    a = sets.select(F.col("key").alias("u"), "n", "shared")
+    b = sets.select(F.col("key").alias("v"), F.col("n").alias("v_n"), F.col("shared").alias("v_shared"))
     return cut(pairs.join(a, "u").join(b, "v").mapInArrow(_verify, "u long, v long"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in the links: the smallest id that links lead to.
+    """(key, component) of every key in the links: the smallest key that links lead to.
 
-    Each round gives an id the smallest label among its neighbours and then that label's
-    own label, so that the rounds grow as the logarithm of the longest path.
+    Each round gives a key the smallest label among its neighbours and then that label's
+    own label, so that the rounds grow as the logarithm of the longest path. Labels are broadcast
+    while they are few; the links of a hub are split by adaptive execution beyond.
     """
     both = cut(links.select("u", "v").union(links.select("v", "u")))
-    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.least("id", F.min("v")).alias("component")))
+    labels = cut(both.groupBy(F.col("u").alias("key")).agg(F.least("key", F.min("v")).alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("id"), "component", F.lit(None).cast("long").alias("was"))
-        own = labels.select("id", "component", F.col("component").alias("was"))
-        low = near.union(own).groupBy("id").agg(F.min("component").alias("at"), F.max("was").alias("was"))
-        up = labels.select(F.col("id").alias("at"), F.col("component").alias("up"))
-        step = cut(low.join(up, "at", "left").select("id", F.least("at", "up").alias("component"), "was"))
-        labels = step.select("id", "component")
+        at_hand = near(labels.withColumnRenamed("key", "v"))
+        by_neighbour = both.join(at_hand, "v").select(F.col("u").alias("key"), "component", F.lit(None).cast("long").alias("was"))
+        own = labels.select("key", "component", F.col("component").alias("was"))
+        low = by_neighbour.union(own).groupBy("key").agg(F.min("component").alias("at"), F.max("was").alias("was"))
+        up = near(labels.select(F.col("key").alias("at"), F.col("component").alias("up")))
+        step = cut(low.join(up, "at", "left").select("key", F.least("at", "up").alias("component"), "was"))
+        labels = step.select("key", "component")
         if step.filter("component < was").isEmpty():
             return labels
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (id, component) after further links, which are followed between components only."""
+    """Labels (key, component) after further links, which are followed between components only."""
     if labels is None:
         return components(links)
-    of_u = labels.select(F.col("id").alias("u"), F.col("component").alias("cu"))
-    of_v = labels.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+    of_u = labels.select(F.col("key").alias("u"), F.col("component").alias("cu"))
+    of_v = labels.select(F.col("key").alias("v"), F.col("component").alias("cv"))
     between = links.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     between = cut(between.filter("u != v").distinct())
     if between.isEmpty():
         return labels
-    joined = components(between).select(F.col("id").alias("component"), F.col("component").alias("low"))
-    single = between.select(F.col("u").alias("id")).union(between.select("v")).distinct().withColumn("component", F.col("id"))
-    all_ = labels.union(single.join(labels.select("id"), "id", "left_anti"))
-    return cut(all_.join(joined, "component", "left").select("id", F.coalesce("low", "component").alias("component")))
+    joined = components(between).select(F.col("key").alias("component"), F.col("component").alias("low"))
+    single = between.select(F.col("u").alias("key")).union(between.select("v")).distinct().withColumn("component", F.col("key"))
+    all_ = labels.union(single.join(labels.select("key"), "key", "left_anti"))
+    return cut(all_.join(joined, "component", "left").select("key", F.coalesce("low", "component").alias("component")))
 
 
 def overlap_needed(n: str, other: str) -> str:
@@ -276,38 +345,55 @@ def overlap_needed(n: str, other: str) -> str:
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """(token, id, n, place): the shingles of each set's prefix in the first order with their places among all n.
+    """(token, key, n, own, place, blocks): the shingles of each set's prefix in the first order with their places among all n.
 
     Sets of n and m shingles that link share overlap_needed(n, m), so they have a shingle in common whose place in
     each is at most the size less that. That bounds the partner's size, by `most`, and
     entries whose bound is below all sizes that the shingle has are left out. So are shingles of one set.
+    A shingle's entries are dealt to `blocks` tasks.
+    """
+    entries = sets.select("key", "n", "own", F.posexplode("one").alias("rank", "token"))
+    entries = entries.select("token", "key", "n", "own", (F.col("own") + F.col("rank")).alias("place"))
+    entries = cut(entries.withColumn("most", F.expr(f"({100 + PERCENT} * (n - place)) div {PERCENT} - n")))
+    met = entries.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = cut(met.select("token", "least", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")))
+    return cut(entries.join(near(met), "token").filter("most >= least").select("token", "key", "n", "own", "place", "blocks"))
+
+
+def _may_link() -> Column:
+    """Whether an entry and a partner's (columns with p_) can be of sets that link: by sizes and places, then by bitmaps, none of which misses a link.
+
+    Sets of n and m that link differ in at most n + m - 2 * overlap_needed(n, m) shingles. Those that no
+    other set has are among them, and each bit in which the bitmaps of shared shingles differ
+    comes of one more. In each of the other orders the prefixes of such sets have a token in common, hence a bit.
     """
-    entries = sets.select("id", "n", (F.col("n") - F.octet_length("shared") / 8).cast("long").alias("own"), F.posexplode("one").alias("rank", "token"))
-    entries = entries.select("token", "id", "n", (F.col("own") + F.col("rank")).alias("place"))
-    most = F.expr(f"({100 + PERCENT} * (n - place)) div {PERCENT} - n")
-    entries = cut(entries.withColumn("most", most))
-    least = entries.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return cut(entries.join(least, "token").filter("most >= least").select("token", "id", "n", "place"))
+    need = overlap_needed("n", "p_n")
+    placed = f"place <= n - {need} and p_place <= p_n - {need}"
+    odd = " + ".join(f"bit_count(odd{i} ^ p_odd{i})" for i in range(ODD))
+    differ = f"own + p_own + {odd} <= n + p_n - 2 * {need}"
+    orders = [" or ".join(f"({x}{i} & p_{x}{i}) != 0" for i in range(MARKS)) for x in ("two", "three")]
+    return F.expr(f"component != p_component and {placed} and {differ} and ({orders[0]}) and ({orders[1]})")
 
 
-def link_components(sets: DataFrame) -> DataFrame:
-    """(id, component) of the sets that link with others.
+def link_components(sets: DataFrame) -> DataFrame | None:
+    """(key, component) of the sets that link with others; None if no sets share a shingle.
 
     Trying all pairs of a shingle's sets would be the square of a group of near copies, so
     partners are chosen first: PARTNERS sets of each shingle are tried with all others of it. Sets that now
     are of one component need not be tried with each other again. What remains is every pair of
     different components that shares a shingle: it is counted, and either tried in full or, while it
-    is too much, cut down by another round with other partners. Only pairs whose sizes and places of the
-    shingle allow a link are tried at all.
+    is too much, cut down by another round with other partners. Pairs become rows only if _may_link() holds,
+    and a shingle's entries are dealt to blocks, with the partners in each.
     """
     index = _index(sets)
     entries = index.count()
+    bitmaps = sets.select("key", *BITMAPS)
     labels = None
     for round_ in range(ROUNDS + 1):
         if labels is None:
-            own = index.withColumn("component", F.col("id"))
+            own = index.withColumn("component", F.col("key"))
         else:
-            own = cut(index.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+            own = index.join(near(labels), "key", "left").withColumn("component", F.coalesce("component", "key"))
         sizes = own.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
         main = cut(
             sizes.groupBy("token")
@@ -319,27 +405,62 @@ def link_components(sets: DataFrame) -> DataFrame:
         if not left:
             break
         last = left <= PAIRS_AN_ENTRY * entries or round_ == ROUNDS
-        open_ = cut(own.join(main.select("token", "main"), "token"))
-        side = open_.select("token", F.col("id").alias("u"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("other"), F.col("main").alias("chief"))
+        open_ = own.join(near(main.select("token", "main")), "token").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
         if last:
-            side = side.filter("other != chief")
+            side = open_.filter("component != main")
         else:
-            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("u", F.lit(round_)), "u"))
-            side = side.withColumn("rank", rank).filter(F.col("rank") <= PARTNERS).drop("rank")
-        needed_ = overlap_needed("n", "m")
-        fits = F.expr(f"component != other and place <= n - {needed_} and at <= m - {needed_}")
-        pairs = side.join(open_, "token").filter(fits)
+            chosen = open_.withColumn("order", F.xxhash64("key", F.lit(round_)))
+            for group in (["token", "block"], ["token"]):
+                rank = F.row_number().over(Window.partitionBy(*group).orderBy("order", "key"))
+                chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= PARTNERS).drop("rank")
+            side = chosen.drop("order")
+        side = side.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "main")
+        side = side.join(bitmaps, "key")
+        side = side.select("token", "block", *(F.col(c).alias(f"p_{c}") for c in side.columns if c not in ("token", "block")))
+        pairs = open_.join(bitmaps, "key").join(side.hint("merge"), ["token", "block"]).filter(_may_link())
         if last:
-            pairs = pairs.filter("component = main or u < id")
-        pairs = cut(pairs.select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct())
+            pairs = pairs.filter("component = main or p_key < key")
+        pairs = cut(pairs.select(F.least("key", "p_key").alias("u"), F.greatest("key", "p_key").alias("v")).distinct())
         labels = merged(labels, verified(pairs, sets))
         if last:
             break
-    if labels is None:
-        return sets.select("id", F.col("id").alias("component")).limit(0)
     return labels
 
 
+def _common(signed: DataFrame, total: int, rate: int, group: int) -> np.ndarray:
+    """Hashes, sorted, of shingles that more texts have than one task should meet, as a sample tells.
+
+    Only what is done with a shingle depends on it, not the result: these are not counted, and
+    come last in the first order. They are COMMON_SHARE at most.
+    """
+    least = max(group, total // COMMON_SHARE)
+    drawn = signed.filter("key is not null").select(F.explode("sample").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    found = drawn.filter(F.col("k") * rate >= least / 2).select("h").collect()
+    return np.sort(np.asarray([r[0] for r in found], dtype=np.int64)).view(np.uint64)
+
+
+def _decided(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One row per row of docs: id, digest of the text, n_shingles, component_id; see similar_components()."""
+    read = docs.select(docs[id_column].cast("long").alias("id"), digest(docs[text_column]).alias("digest"), docs[text_column].alias("text"))
+    signed = cut(read.mapInArrow(_signatures(SAMPLE), "id long, digest long, n long, key long, sample array<long>").withColumn("key", F.when(F.expr("n > 0 and id is not null"), F.col("key"))))
+    classes = cut(signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    bits = min(20, max(4, int(total // GROUP).bit_length()))
+    spread = read.filter("id is not null").select("text").mapInArrow(_spread(bits, _common(signed, total, SAMPLE, GROUP)), "part int, blob binary")
+    shared = spread.groupBy("part").applyInArrow(_shared(bits), "part int, blob binary")
+    maps = ", ".join(f"{c} long" for c in BITMAPS)
+    sets = cut(shared.groupBy("part").applyInArrow(_prefixes, f"key long, n long, own long, shared binary, one array<long>, {maps}"))
+    first = classes.select("key", "first")
+    labels = link_components(sets)
+    found = classes.filter("copies > 1").select("key", F.col("first").alias("component_id"))
+    if labels is not None:
+        linked = cut(labels.join(first, "key"))
+        low = near(cut(linked.groupBy("component").agg(F.min("first").alias("component_id"))))
+        found = found.join(labels, "key", "left_anti").unionByName(linked.join(low, "component").select("key", "component_id"))
+    out = signed.join(near(cut(found)), "key", "left")
+    return out.select("id", "digest", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
 def similar_components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id.
 
@@ -347,39 +468,26 @@ def similar_components(docs: DataFrame, id_column: str, text_column: str) -> Dat
     than white space, A-Z lower-cased). Two texts link if PERCENT hundredths of the shingles that either has
     are shared. component_id is the smallest id that links lead to, or the
     row's own. Components are exact, but links are not given, nor a row's number of them: pairs
-    already in one component are not verified, and verified links are thinned to forests. Texts with equal sets are one class, of which only the smallest id takes
-    part in the join. A null text, or one without words, links with nothing. Ids
-    are integers; a row with a null id has no component; rows that share an id have the
-    smallest component of any of them. An empty table gives no rows; other
+    already in one component are not verified. Texts with equal sets are one class, known by a 64-bit key, and
+    take part in the join once. Shingles are known by KEPT_BITS bits of a hash.
+
+    A null text, or one without words, links with nothing. Ids
+    are integers; a row with a null id has no component and links with nothing; rows that share an id are
+    rows of their own, each in the component of its own text. An empty table gives no rows; other
     columns aren't read.
     """
-    read = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
-    signed = cut(read.mapInArrow(_signatures, "id long, n long, a long, b long"))
-    full = signed.filter("n > 0 and id is not null")
-    classes = cut(full.groupBy("n", "a", "b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
-    repeated = classes.filter("copies > 1").select("n", "a", "b", "first")
-    few = repeated.count() <= BROADCAST_IDS
-    repeated = F.broadcast(repeated) if few else repeated.hint("merge")
-    member = full.join(repeated, ["n", "a", "b"]).select("id", "first").distinct()
-    copies = cut(member.filter("id != first"))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    bits = min(20, max(4, int(total // GROUP).bit_length()))
-    once = semi_or_anti(read.filter("id is not null"), copies.select("id").distinct(), "id", "left_anti")
-    spread = once.mapInArrow(_spread(bits), "part int, blob binary")
-    shared = spread.groupBy("part").applyInArrow(_shared(bits), "part int, blob binary")
-    sets = cut(shared.groupBy("part").applyInArrow(_prefixes, "id long, n long, shared binary, one array<long>, two binary, three binary"))
-    labels = link_components(sets)
-    of_copies = copies.join(labels.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
-    labels = cut(labels.union(of_copies).groupBy("id").agg(F.min("component").alias("component")))
-    labels = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels.hint("merge")
-    out = signed.join(labels, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumnRenamed("id", id_column)
+    return _decided(docs, id_column, text_column).drop("digest").withColumnRenamed("id", id_column)
 
 
 def drop_similar(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """docs with one row of each component, that with the smallest id; rows with a null id stay."""
-    rest = similar_components(docs, id_column, text_column).filter(f"`{id_column}` != component_id").select(id_column).distinct()
-    return semi_or_anti(docs, cut(rest), id_column, "left_anti")
+    """docs with the rows of each component that have its smallest id.
+
+    Rows with a null id, and rows whose text is null or without words, stay. Of rows that
+    share an id each goes or stays by the component of its own text; equal rows go or stay together. An empty table
+    stays empty, and docs' columns may have any names.
+    """
+    gone = _decided(docs, id_column, text_column).filter("id != component_id")
+    return drop_rows(docs, gone, id_column, text_column)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, semi_or_anti, slices, table
+from .common import BROADCAST_IDS, cut, digest, drop_rows, near, slices, table
 from .textscan import mix, text_bytes
 
 #: Labelled rows that the text model is fitted on, at most: those with the smallest hashes of their ids.
@@ -210,10 +210,15 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language isn't accepted; rows with a null doc_id stay."""
+    """docs without the rows whose language isn't accepted.
+
+    Of rows that share a doc_id each is judged by its own text and source; rows with a null doc_id stay. Null and empty texts
+    go, as they have no letters. An empty table stays empty, and docs' further columns may have any names.
+    """
     model = train(docs, "doc_id", "text", "lang")
-    rejected = identify(from_documents(docs), ["doc_id"], model).filter("not accepted").select("doc_id").filter("doc_id is not null").distinct()
-    return semi_or_anti(docs, cut(rejected), "doc_id", "left_anti")
+    rows = from_documents(docs).withColumn("mark", digest(F.col("text"), F.col("host")))
+    rejected = identify(rows, ["doc_id", "mark"], model).filter("not accepted")
+    return drop_rows(docs, rejected.select(F.col("doc_id").alias("id"), F.col("mark").alias("digest")), "doc_id", "text", "source")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltlog.llm import dedup, decontaminate, jaccard, language, licenses, packing, secrets, tokencount, toxicity, warc
+from siltlog.llm import common, dedup, decontaminate, jaccard, language, licenses, packing, secrets, tokencount, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -137,7 +137,7 @@ def test_packing_keeps_added_tokens(spark):
 @pytest.mark.parametrize("limit", [0, 500_000])
 def test_exact_dedup(docs, texts, empty, odd, monkeypatch, limit):
     monkeypatch.setattr(dedup, "BROADCAST_GROUPS", limit)
-    got = {r["doc_id"]: r for r in dedup.exact_dedup(docs, "doc_id", "text", digest="sha").collect()}
+    got = {r["doc_id"]: r for r in dedup.exact_dedup(docs, "doc_id", "text", sha="sha").collect()}
     clean = [re.sub("[\x20\x09-\x0d]", "", t or "") for t in texts]
     assert len(got) == len(texts)
     for i, c in enumerate(clean):
@@ -375,10 +375,10 @@ def linked(texts, k=5):
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("settings", [{}, {"PAIRS_AN_ENTRY": 0, "ROUNDS": 3}, {"BROADCAST_IDS": 0}])
+@pytest.mark.parametrize("settings", [{}, {"PAIRS_AN_ENTRY": 0, "ROUNDS": 3, "SAMPLE": 1, "GROUP": 8}, {"BROADCAST_IDS": 0, "BLOCK": 2, "PAIRS_AN_ENTRY": 0, "PARTNERS": 1, "ROUNDS": 1}])
 def test_jaccard(docs, texts, monkeypatch, settings):
     for k, v in settings.items():
-        monkeypatch.setattr(jaccard, k, v)
+        monkeypatch.setattr(common if k == "BROADCAST_IDS" else jaccard, k, v)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(docs, "doc_id", "text").collect()}
     assert got == linked(texts)
 
@@ -390,6 +390,78 @@ def test_jaccard_odd_tables(docs, texts, empty, odd):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in linked(texts).items() if i == c}
 
 
+def repeats(rng):
+    """(id, text) rows with ids that several texts have, and none; some rows are there twice."""
+    base = prose(rng, 60).split()
+
+    def copy(n):
+        return " ".join([f"x{rng.randint(0, 9)}" if i < n else w for i, w in enumerate(base)])
+
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6, 7, 8, 9]), copy(rng.randint(0, 9))) for _ in range(40)]
+    rows += [(5, prose(rng, 40)), (5, None), (6, ""), (None, " "), (1, "one two"), (2, "one  two"), (2, "one two "), (3, "one two")]
+    return rows + rows[::7]
+
+
+def by_rows(frame):
+    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=repr)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    rows = repeats(random.Random(13))
+    frame = spark.createDataFrame([(*r, "g", 1) for r in rows], "doc_id long, text string, gone_id string, digest int").repartition(3)
+    links = linked([t if i is not None else None for i, t in rows])
+    least = {}
+    for k, (_, c) in links.items():
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, 99), rows[k][0])
+    want = [(i, links[k][0] if i is not None else None, None if i is None else least[links[k][1]]) for k, (i, t) in enumerate(rows)]
+    got = [(r["doc_id"], r["n_shingles"] if r["doc_id"] is not None else None, r["component_id"]) for r in jaccard.similar_components(frame, "doc_id", "text").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = jaccard.drop_similar(frame, "doc_id", "text")
+    assert kept.columns == frame.columns
+    assert by_rows(kept) == sorted((r for r, w in zip(rows, want, strict=True) if w[0] is None or w[0] == w[2]), key=repr)
+    clean = [re.sub("[\x20\x09-\x0d]", "", t or "") for _, t in rows]
+    order = [(-len(t or ""), i is None, i or 0) for i, t in rows]
+    best = {}
+    for c, o in zip(clean, order, strict=True):
+        best[c] = min(best.get(c, o), o)
+    kept = dedup.drop_copies(frame, "doc_id", "text")
+    assert by_rows(kept) == sorted((r for r, c, o in zip(rows, clean, order, strict=True) if best[c] == o or r[0] is None), key=repr)
+    bench = spark.createDataFrame([(1, "x1")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(frame, bench, "doc_id", "text")
+    assert by_rows(kept) == sorted((r for r in rows if r[0] is None or "x1" not in (r[1] or "").split()), key=repr)
+
+
+def test_jaccard_finds_all_links_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 300)
+    rng = random.Random(17)
+    base = prose(rng, 100, 5000).split()
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(100)] = f"y{rng.randint(0, 30)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append(frozenset(zip(w, w[1:], w[2:], w[3:], w[4:])))
+    names = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(texts), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[x] for x in s]] = 1
+    both, size = m @ m.T, m.sum(1)
+    link = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    label = np.arange(len(texts))
+    while True:
+        new = np.array([label[row].min() for row in link])
+        if (new == label).all():
+            break
+        label = new
+    assert got == {i: (len(s), int(label[i])) for i, s in enumerate(sets)} and len(set(label.tolist())) > 20
+
+
 @pytest.mark.parametrize("per_pass", [1_000_000, 10])
 def test_decontamination(spark, docs, texts, empty, odd, monkeypatch, per_pass):
     monkeypatch.setattr(decontaminate, "PASS_WORDS", per_pass)
