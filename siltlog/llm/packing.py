@@ -27,6 +27,8 @@ _L, _N = r"A-Za-zªµºÀ-ÖØ-öø-ſ", r"0-9²³¹¼-¾"
 #: _SPLIT for texts without apostrophes, white space next to white space and characters above: it needs no look-ahead.
 _EASY_SPLIT = rf" ?(?:[{_L}]+|[{_N}]+|[^\s{_L}{_N}]+)|\s"
 _ABOVE, _SPACES = re.compile(r"[^\x00-ſ]"), re.compile(r"\s\s")
+#: White space as _SPLIT has it (Unicode's property White_Space), in runs too long for a look-ahead that steps back through them.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
 
 
 class ByteTokenizer:
@@ -66,12 +68,27 @@ class ByteTokenizer:
         return np.asarray(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        """Ids of ordinary text. Long runs of white space are cut out by _SPLIT's rule: all of a run at the end, else all but its last character, which goes with what follows."""
+        out, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += [self._split(text[at : run.start()]), self._piece(text[run.start() : end])]
+            at = end
+        return b"".join([*out, self._split(text[at:])])
+
+    def _piece(self, text: str) -> bytes:
+        return _bytes(self._any._core_bpe.encode_single_piece(text.encode()))
+
+    def _split(self, text: str) -> bytes:
         easy = "'" not in text and not _SPACES.search(text) and (text.isascii() or not _ABOVE.search(text))
-        encoding = self._easy if easy else self._any
-        ids = array("I", encoding.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return _bytes((self._easy if easy else self._any).encode_ordinary(text))
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def _byte_alphabet() -> dict[str, int]:
