@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import lowest, slices, table
 from .textscan import ALNUM, mix, text_bytes, words
 
 #: Places that features are hashed to, as a power of two: the weights take 4 bytes each, so 1 MB is broadcast.
@@ -101,7 +101,7 @@ def fit_packed(rows: list[tuple[bytes, int]], bits: int = BITS, epochs: int = EP
     model = Ftrl(1 << bits, l1=L1_A_ROW * len(rows))
     positive = sum(y for _, y in rows)
     if 0 < positive < len(rows):
-        weight = {1: min(5.0, len(rows) / (2 * positive)), 0: len(rows) / (2 * (len(rows) - positive))}
+        weight = {1: len(rows) / (2 * positive), 0: len(rows) / (2 * (len(rows) - positive))}
         order = np.random.default_rng(0).permutation(len(rows))
         for _ in range(epochs):
             for i in order:
@@ -119,7 +119,7 @@ def score(column: pa.Array, weights: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, id_column: str, text_column: str, label_column: str, most: int = TRAINING_ROWS) -> np.ndarray:
     """Weights from the whole texts of `most` labelled rows at most, those with the smallest hashes of their ids.
 
-    Texts become features where they are read. These go to one task, at most 4 bytes a feature and
+    Rows without a label are left out; a null text counts as empty, and equal hashes are put in order by features and label. Texts become features where they are read. These go to one task, at most 4 bytes a feature and
     32 kB a text, which sends back the weights only (4 << BITS bytes).
     """
     rows = labelled.filter(F.col(label_column).isNotNull()).select(
@@ -127,7 +127,7 @@ def train(labelled: DataFrame, id_column: str, text_column: str, label_column: s
         F.col(label_column).cast("int").alias("label"),
         F.xxhash64(F.col(id_column).cast("string")).alias("place"),
     )
-    last = rows.select("place").orderBy("place").limit(most).agg(F.max("place")).first()[0]
+    last = lowest(rows, "place", most)
     if last is None:
         return fit([])
 
@@ -176,7 +176,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.filter((fold(F.col("doc_id")) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     # the sample is chosen by id before texts are joined
-    chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(TRAINING_ROWS)
+    known = known.withColumn("place", F.xxhash64(F.col("doc_id").cast("string")))
+    last = lowest(known, "place", TRAINING_ROWS)
+    chosen = known.filter(F.col("place") <= F.lit(last)).orderBy("place", "doc_id").limit(TRAINING_ROWS).drop("place")
     weights = train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "text", "toxic")
     scored = score_toxicity(docs, "doc_id", "text", weights)
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
