@@ -13,6 +13,8 @@ from .common import table
 SPACE = "▁"
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
+#: Places of a word that the search holds, about, so that a word may be as long as it likes.
+SPAN = 1 << 15
 #: Words whose counts a task keeps.
 KEPT_WORDS = 300_000
 
@@ -44,6 +46,7 @@ class UnigramCounter:
                 self.automaton.add_word(piece, (len(piece), score))
                 known.add(piece)
         self.automaton.make_automaton()
+        self.longest = max(map(len, known), default=0) + 1
         self.single = {p for p in known if len(p) == 1}
         self.unknown_score = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.byte_fallback = all(f"<0x{b:02X}>" in known for b in range(256))
@@ -51,35 +54,51 @@ class UnigramCounter:
 
     def word(self, word: str) -> int:
         n = len(word)
-        best = [-math.inf] * (n + 1)
-        begin = [n] * (n + 1)
-        count = [0] * (n + 1)
-        unknown = [False] * (n + 1)
+        size = min(n + 1, SPAN + 2 * self.longest)
+        best = [-math.inf] * size
+        begin = [-1] * size
+        count = [0] * size
+        unknown = [False] * size
         best[0] = 0.0
         ready = 0  # places that are settled
+        base = 0  # the place that the lists begin with
+
+        def move() -> None:
+            """Forgets places that no piece reaches back to from where the search is."""
+            nonlocal base
+            gone = ready - base - self.longest
+            for values, empty in ((best, -math.inf), (begin, -1), (count, 0), (unknown, False)):
+                del values[:gone]
+                values += [empty] * gone
+            base += gone
 
         def settle(upto: int) -> None:
             nonlocal ready
             while ready < upto:
-                at, ready = ready, ready + 1
-                character = word[at]
+                if ready + 1 - base >= size:
+                    move()
+                character, at, to = word[ready], ready - base, ready + 1 - base
                 if character not in self.single:
                     score = best[at] + self.unknown_score
-                    if begin[ready] == n or score > best[ready]:
-                        best[ready], begin[ready], unknown[ready] = score, at, True
+                    if begin[to] < 0 or score > best[to]:
+                        best[to], begin[to], unknown[to] = score, ready, True
                         if self.byte_fallback:
-                            count[ready] = count[at] + len(character.encode("utf-8", "surrogatepass"))
+                            count[to] = count[at] + len(character.encode("utf-8", "surrogatepass"))
                         else:
-                            count[ready] = count[at] + (not unknown[at])
+                            count[to] = count[at] + (not unknown[at])
+                ready += 1
 
         for last, (length, piece) in self.automaton.iter(word):
             settle(last)
-            at, end = last + 1 - length, last + 1
+            if last + 1 - base >= size:
+                move()
+            first = last + 1 - length
+            at, end = first - base, last + 1 - base
             score = best[at] + piece
-            if begin[end] == n or score > best[end] or (score == best[end] and at < begin[end]):
-                best[end], begin[end], count[end], unknown[end] = score, at, count[at] + 1, False
+            if begin[end] < 0 or score > best[end] or (score == best[end] and first < begin[end]):
+                best[end], begin[end], count[end], unknown[end] = score, first, count[at] + 1, False
         settle(n)
-        return count[n]
+        return count[n - base]
 
     def text(self, text: str) -> int:
         """Pieces of a text: spaces are written as SPACE, with one ahead unless the text begins with one, and begin words."""
@@ -106,7 +125,7 @@ def count_tokens(docs: DataFrame, id_column: str, text_column: str, model_path:
     The tokenizer is a unigram model whose pieces and scores are those of the SentencePiece file.
     Each word's matches are enumerated by an Aho-Corasick automaton, and
     dynamic programming carries the best score and its number of pieces; no
-    segmentation is built. Texts are split at every space, and each word, with the space ahead of it, is searched alone:
+    segmentation is built, and a long word is searched in a window of SPAN places. Texts are split at every space, and each word, with the space ahead of it, is searched alone:
     a piece with a space after its first character is never matched. In piece_bpe_32k.model these
     are the 14 runs of two or more spaces, so a run of n spaces counts as about n pieces. A null or empty text has none. Equal rows and rows with null ids
     are treated like others; other columns aren't read.
