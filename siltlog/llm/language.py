@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, digest, drop_rows, near, slices, table
+from .common import BROADCAST_IDS, cut, digest, drop_rows, lowest, near, slices, table
 from .textscan import mix, text_bytes
 
 #: Labelled rows that the text model is fitted on, at most: those with the smallest hashes of their ids.
@@ -18,7 +18,7 @@ TRAINING_ROWS = 4000
 #: Places that byte trigrams are hashed to, as a power of two.
 BITS = 15
 SLICE = 1 << 20
-#: Trigrams of a text that count in full; more of them add up to no more evidence than so many.
+#: Trigrams overlap, so their log chances are not those of independent events: n of them count as n * EVIDENCE / (n + EVIDENCE), in texts of any length.
 EVIDENCE = 100
 #: Chance that a declared language, or the language of an address suffix, is the text's.
 DECLARED, SUFFIX = 0.9, 0.8
@@ -88,7 +88,9 @@ def fit_counted(rows: Iterable[tuple[str, np.ndarray, np.ndarray]]) -> TextModel
 
 
 def train(labelled: DataFrame, id_column: str, text_column: str, language_column: str, most: int = TRAINING_ROWS) -> TextModel:
-    """Text model from the whole texts of `most` labelled rows at most.
+    """Text model from the whole texts of `most` labelled rows at most, those with the smallest hashes of their ids.
+
+    Rows without a language are left out; a null text has no trigrams, and equal hashes are put in order by id, language and counts.
 
     Trigrams are counted where the texts are read. One task adds up the counts (10 bytes for each
     of a text's places) and sends back 4 << BITS bytes a language.
@@ -96,7 +98,7 @@ def train(labelled: DataFrame, id_column: str, text_column: str, language_column
     rows = labelled.filter(F.col(language_column).isNotNull()).select(
         F.col(id_column).cast("string").alias("id"), F.col(language_column).alias("language"), F.col(text_column).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("hash")
     )
-    last = rows.select("hash").orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    last = lowest(rows, "hash", most)
     if last is None:
         return fit([])
 
@@ -135,7 +137,7 @@ def identify(rows: DataFrame, keys: list[str], model: TextModel) -> DataFrame:
 
     A null or empty text has no letters; its language and confidence are null. A null declared
     language, suffix or host gives no evidence (a null host has the prior of all rows). Equal rows and rows with null keys
-    are treated like others. Without languages in the model nothing is accepted.
+    are treated like others. Keys with names of other columns here are an error. Without languages in the model nothing is accepted.
     """
     languages = model.languages
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
@@ -146,13 +148,16 @@ def identify(rows: DataFrame, keys: list[str], model: TextModel) -> DataFrame:
             for part in slices(batch, "text", SLICE):
                 column = dict(zip(part.schema.names, part.columns, strict=True))
                 likely, n = shared.value.score(column.pop("text"))
-                likely *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+                likely *= (EVIDENCE / (n + EVIDENCE))[:, None]
                 if likely.shape[1]:
                     likely -= likely.max(axis=1, keepdims=True)
                 column["letters"] = pa.array(n, pa.int64())
                 column["likely"] = pa.array(list(likely), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(list(column.values()), list(column))
 
+    clash = {"text", "host", "suffix", "declared", "letters", "likely"} & {k.lower() for k in keys}
+    if clash:
+        raise ValueError(f"keys can't be called {sorted(clash)}")
     frame = rows.select(*keys, "declared", "suffix", "host", "text")
     scored = cut(frame.mapInArrow(run, f"{kinds}, declared string, suffix string, host string, letters long, likely array<double>"))
     if not languages:
@@ -174,7 +179,7 @@ def identify(rows: DataFrame, keys: list[str], model: TextModel) -> DataFrame:
     of_domain = [(F.col(f"d{j}") + SMOOTHING * overall[j]) / (F.col("m") + SMOOTHING) for j in count]
     of_host = [((F.col(f"c{j}") + SMOOTHING * of_domain[j]) / (F.col("n") + SMOOTHING)).alias(f"p{j}") for j in count]
     priors = cut(hosts.withColumn("domain", domain).join(domains, "domain").select("host", *of_host))
-    priors = F.broadcast(priors) if priors.count() <= BROADCAST_IDS // 10 else priors.hint("merge")
+    priors = near(priors, BROADCAST_IDS // 10)
 
     def evidence(value: Column, language: str, right: float) -> Column:
         wrong = (1 - right) / max(1, len(languages) - 1)
@@ -196,13 +201,19 @@ def identify(rows: DataFrame, keys: list[str], model: TextModel) -> DataFrame:
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Rows for identify() of documents: what their lang declares, and their source as host."""
-    return docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+    """Rows for identify() of documents, with their source as host. Their lang is what the model learns from, so it is no evidence."""
+    none = F.lit(None).cast("string")
+    return docs.select("doc_id", "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Rows for identify() of web pages: text between tags, the html element's lang, and the address' host and its suffix."""
-    text = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    """Rows for identify() of web pages: text between tags, the html element's lang, and the address' host and its suffix.
+
+    What isn't closed (a tag, a comment, a script) goes on to the end of the page. A null html has a null text and an empty
+    declared language, a null url a null host and suffix; equal rows and null ids are rows like others.
+    """
+    # possessive, and up to the end where a tag is never closed, so that each character is looked at a few times only
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*+>(?:(?!</\1\s*+>).)*+(?:</\1\s*+>|\z)|<!--(?:(?!-->).)*+(?:-->|\z)|<[^>]*+(?:>|\z)", " ")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", host)
     declared = F.regexp_extract("html", r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", 1)
