@@ -96,6 +96,106 @@ FORMS = [
     (1, 0.70, r"(?:{n}) {w} licen[cs]e"),
 ]
 
+# Wordings of licenses, their headers and addresses: label, priority, confidence, keyword, and the words as a regular expression.
+SIGNATURES = [
+    ("0bsd", 7, 0.98, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("afl", 6, 0.95, "academic", "licensed under the academic free license version (?:2 1|3 0)"),
+    ("agpl", 6, 0.98, "affero", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", 6, 0.97, "affero", "you should have received a copy of the gnu affero general public license"),
+    ("agpl", 6, 0.95, "gnu", "www gnu org licenses agpl(?: 3 0)?"),
+    ("apache", 6, 0.99, "apache", "licensed under the apache license version 2 0 the license"),
+    ("apache", 6, 0.95, "license", "you may not use this file except in compliance with the license you may obtain a copy of the license at(?: https?)? www apache org licenses license 2 0"),
+    ("apache", 6, 0.95, "apache", "www apache org licenses(?: license 2 0)?"),
+    ("apache", 5, 0.85, "license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", 6, 0.95, "apache", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("artistic", 6, 0.95, "artistic", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("artistic", 5, 0.85, "perl", "under the same terms as perl(?: itself)?"),
+    ("beerware", 6, 0.97, "beer", "you can buy me a beer in return"),
+    ("bsd", 6, 0.95, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 5, 0.85, "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 5, 0.85, "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-2-clause", 6, 0.97, "opensource", "opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", 6, 0.97, "opensource", "opensource org licenses? bsd 3 clause"),
+    ("bsd-3-clause", 7, 0.93, "endorse", "nor the names of (?:its|their|other) contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", 7, 0.97, "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsl", 6, 0.99, "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsl", 6, 0.98, "boost", "distributed under the boost software license version 1 0"),
+    ("bsl", 6, 0.97, "boost", "www boost org license 1 0"),
+    ("busl", 6, 0.95, "business", "use of this software is governed by the business source license"),
+    ("cc-by", 6, 0.97, "creativecommons", "creativecommons org licenses by [1234] [05]"),
+    ("cc-by-nc", 6, 0.97, "creativecommons", "creativecommons org licenses by nc [1234] [05]"),
+    ("cc-by-nc-nd", 6, 0.97, "creativecommons", "creativecommons org licenses by nc nd [1234] [05]"),
+    ("cc-by-nc-sa", 6, 0.97, "creativecommons", "creativecommons org licenses by nc sa [1234] [05]"),
+    ("cc-by-nd", 6, 0.97, "creativecommons", "creativecommons org licenses by nd [1234] [05]"),
+    ("cc-by-sa", 6, 0.97, "creativecommons", "creativecommons org licenses by sa [1234] [05]"),
+    ("cc0", 6, 0.98, "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("cc0", 6, 0.95, "waived", "has waived all copyright and related or neighboring rights to"),
+    ("cddl", 6, 0.98, "common", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", 6, 0.90, "cddl", "opensource org licenses? cddl1?"),
+    ("cecill", 6, 0.97, "cecill", "this software is governed by the cecill(?: b| c)? license under french law"),
+    ("cpl", 6, 0.95, "common", "the accompanying program is provided under the terms of this common public license"),
+    ("curl", 6, 0.85, "permission", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is"),
+    ("ecl", 6, 0.95, "educational", "licensed under the educational community license version (?:1|2) 0"),
+    ("elastic", 6, 0.95, "hosted", "you may not provide the software to third parties as a hosted or managed service"),
+    ("epl", 6, 0.98, "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", 6, 0.97, "eclipse", "www eclipse org (?:legal epl(?: v10| 2 0)?|org documents epl(?: v10| 2 0)?)"),
+    ("eupl", 6, 0.98, "eupl", "licensed under the eupl"),
+    ("eupl", 6, 0.95, "eupl", "joinup ec europa eu(?: software page| collection)? eupl"),
+    ("gfdl", 6, 0.98, "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl", 6, 0.98, "general", "under the terms of(?: version [23] of)? the gnu general public license as published by the free software foundation"),
+    ("gpl", 6, 0.97, "general", "you should have received a copy of the gnu general public license"),
+    ("gpl", 6, 0.95, "gnu", "www gnu org licenses gpl(?: 2 0| 3 0)?"),
+    ("gpl", 6, 0.95, "general", "gnu general public license version (?:2|3) (?:june 1991|29 june 2007)"),
+    ("hpnd", 6, 0.90, "permission", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies"),
+    ("hpnd", 6, 0.90, "permission", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("ipl", 6, 0.95, "ibm", "the accompanying program is provided under the terms of this ibm public license"),
+    ("isc", 6, 0.93, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("json", 6, 0.98, "evil", "the software shall be used for good not evil"),
+    ("lgpl", 6, 0.98, "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", 6, 0.98, "library", "under the terms of the gnu library general public license as published by the free software foundation"),
+    ("lgpl", 6, 0.97, "lesser", "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", 6, 0.95, "gnu", "www gnu org licenses lgpl(?: 2 1| 3 0)?"),
+    ("lppl", 6, 0.97, "latex", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("mit", 6, 0.98, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 5, 0.90, "permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 5, 0.80, "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", 6, 0.97, "opensource", "opensource org licenses? mit(?: license)?"),
+    ("mpl", 6, 0.99, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", 6, 0.95, "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl", 6, 0.98, "mozilla", "the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("mpl", 6, 0.95, "mozilla", "mozilla org mpl(?: 2 0)?"),
+    ("ms-pl", 6, 0.95, "microsoft", "this license governs use of the accompanying software if you use the software you accept this license microsoft public license"),
+    ("mulan", 6, 0.97, "mulan", "license coscl org cn mulanpsl2?"),
+    ("ncsa", 6, 0.90, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("odbl", 6, 0.97, "opendatacommons", "opendatacommons org licenses odbl(?: 1 0)?"),
+    ("ofl", 6, 0.98, "font", "this font software is licensed under the sil open font license"),
+    ("ofl", 6, 0.95, "sil", "scripts sil org ofl"),
+    ("openssl", 6, 0.97, "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("osl", 6, 0.95, "open", "licensed under the open software license version (?:2 1|3 0)"),
+    ("php", 6, 0.97, "php", "this source file is subject to version (?:2 02|3 0|3 01) of the php license"),
+    ("postgresql", 6, 0.97, "permission", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("proprietary", 6, 0.90, "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("psf", 6, 0.97, "psf", "psf is making python available to licensee on an as is basis"),
+    ("psf", 6, 0.95, "python", "python software foundation license(?: version 2)?"),
+    ("public-domain", 6, 0.90, "domain", "(?:work|file|code|software|program) (?:is|has been) (?:hereby )?(?:released|placed|dedicated) (?:in|into|to) the public domain"),
+    ("ruby", 5, 0.85, "ruby", "under the same terms as ruby(?: itself)?"),
+    ("sspl", 6, 0.97, "server", "under the terms of the server side public license version 1"),
+    ("unlicense", 6, 0.99, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", 6, 0.95, "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", 6, 0.95, "unlicense", "unlicense org"),
+    ("vim", 6, 0.85, "vim", "there are no restrictions on distributing unmodified copies of vim"),
+    ("w3c", 6, 0.95, "consortium", "www w3 org consortium legal"),
+    ("wtfpl", 6, 0.98, "fuck", "you just do what the fuck you want to"),
+    ("wtfpl", 6, 0.90, "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("x11", 6, 0.93, "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"),
+    ("zlib", 6, 0.98, "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 6, 0.95, "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", 5, 0.90, "liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zpl", 6, 0.97, "zope", "this software is subject to the provisions of the zope public license"),
+]
+#: One of these is in every text that a rule or a phrase of BASE matches.
+TRIGGERS = (b"licen", b"under", b"permi", b"redistribut", b"domain", b"copy", b"softw", b"gnu", b"mozilla", b"apache", b"creativecommons", b"opendatacommons", b"opensource", b"beer", b"waived", b"fuck", b"eupl", b"w3", b"sil", b"boost", b"eclipse", b"vim")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -106,10 +206,14 @@ class Rule:
     pattern: re.Pattern
 
 
+def _words(text: str) -> re.Pattern:
+    return re.compile(f"(?<![^ ])(?:{text})(?![^ ])")
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
-    """Every form for every family, in order of priority; forms with a version only for families that have versions."""
-    out = []
+    """The signatures, and every form for every family, in order of priority; forms with a version only for families that have versions."""
+    out = [Rule(label, (keyword,), priority, confidence, _words(text)) for label, priority, confidence, keyword, text in SIGNATURES]
     for label, keywords, names, versions in FAMILIES:
         spoken = "|".join(re.escape(v).replace(r"\.", " ").removesuffix(" 0") + ("(?: 0)?" if v.endswith(".0") else "") for v in sorted(versions.split(), reverse=True))
         for priority, confidence, form in FORMS:
@@ -118,7 +222,7 @@ def rules() -> tuple[Rule, ...]:
             optional = f"(?:,? (?:version |v ?)?(?:{spoken}))?" if versions else ""
             text = form.replace("{n}", names).replace("{v}", optional).replace("{w}", f"(?:{spoken})").replace("{i}", label.replace("-", " "))
             gate = ("spdx",) if "{i}" in form else tuple(keywords.split("|"))
-            out.append(Rule(label, gate, priority, confidence, re.compile(f"(?<![^ ])(?:{text})(?![^ ])")))
+            out.append(Rule(label, gate, priority, confidence, _words(text)))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -169,7 +273,7 @@ def _scan(part: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
     for i in range(part.num_rows):
         text = data[offsets[i] : offsets[i + 1]].tobytes()
-        if not any(x in text for x in (b"licens", b"licenc", b"under")):
+        if not any(x in text for x in TRIGGERS):
             rows.append((0, None, None, [], [], [], 0.0))
             continue
         a, b = found.first[i], found.first[i + 1]
