@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -16,8 +17,8 @@ from .textscan import ALNUM, Words, text_bytes, words
 WINDOW = 10
 #: Words of a block, by which the shift table is read.
 BLOCK = 2
-#: Bits of a block's place in the shift table.
-TABLE_BITS = 18
+#: Bits of a block's place in the shift table, at least and at most: there are 8 places or more for each pattern, within these bounds.
+TABLE_BITS = 16, 24
 #: Benchmark words that one pass holds in each task; a larger benchmark is read in several blocks of items.
 PASS_WORDS = 1_000_000
 #: Bytes of text that are scanned at a time.
@@ -39,21 +40,18 @@ class Searcher:
         self.length = hashes.shape[1]
         self.block = min(BLOCK, self.length)
         self.patterns = patterns
+        self.bits = min(max((8 * len(patterns)).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
         most = self.length - self.block + 1
-        self.shift = np.full(1 << TABLE_BITS, most, dtype=np.int16)
+        self.shift = np.full(1 << self.bits, most, dtype=np.int16)
         for end in range(self.block, self.length + 1):
             np.minimum.at(self.shift, self.codes(hashes[:, end - self.block : end]), self.length - end)
-        suffix = self.codes(hashes[:, -self.block :])
-        order = np.argsort(suffix, kind="stable")
-        self.suffix, self.hashes = suffix[order], hashes[order]
-        self.order = order
+        suffix, whole = self.codes(hashes[:, -self.block :]), _folded(hashes[:, j] for j in range(self.length))
+        self.order = np.lexsort((whole, suffix))
+        self.suffix, self.whole = suffix[self.order], whole[self.order]
 
     def codes(self, block: np.ndarray) -> np.ndarray:
         """Places in the shift table of blocks of word hashes, one in each row."""
-        out = np.zeros(len(block), dtype=np.uint64)
-        for j in range(block.shape[1]):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + block[:, j]
-        return (out >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return (_folded(block[:, j] for j in range(block.shape[1])) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, hashes: np.ndarray, found: Words, owner: np.ndarray) -> Iterator[tuple[int, int]]:
         """(first word, pattern) of every occurrence within one text."""
@@ -61,7 +59,7 @@ class Searcher:
         if n < m:
             return
         code = hashes[b - 1 :].copy() if b == 1 else hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
-        jump = self.shift[(code >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]  # by a block's first word
+        jump = self.shift[(code >> np.uint64(64 - self.bits)).astype(np.int64)]  # by a block's first word
         ends = np.linspace(m - 1, n, min(LANES, n - m + 1) + 1).astype(np.int64)  # window ends, dealt to lanes
         at, stop = ends[:-1].copy(), ends[1:]
         hits = []
@@ -79,19 +77,32 @@ class Searcher:
         end = end[owner[end] == owner[end - m + 1]]
         key = self.codes(np.stack([hashes[end - b + 1 + j] for j in range(b)], axis=1)) if len(end) else np.zeros(0, np.int64)
         low, high = np.searchsorted(self.suffix, key, "left"), np.searchsorted(self.suffix, key, "right")
-        for e, lo, hi in zip(end[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-            first = e - m + 1
-            for k in np.flatnonzero((self.hashes[lo:hi] == hashes[first : e + 1]).all(axis=1)):
-                pattern = int(self.order[lo + k])
-                if self.patterns[pattern] == tuple(found.data[found.begin[i] : found.end[i]].tobytes() for i in range(first, e + 1)):
+        some = high > low
+        end, low, high = end[some], low[some], high[some]
+        whole = _folded(hashes[end - m + 1 + j] for j in range(m)) if len(end) else np.zeros(0, np.uint64)
+        while len(end):  # the bucket's patterns are tried side by side, one of each in a step
+            for i in np.flatnonzero(self.whole[low] == whole).tolist():
+                pattern, first = int(self.order[low[i]]), int(end[i]) - m + 1
+                if self.patterns[pattern] == tuple(found.data[found.begin[w] : found.end[w]].tobytes() for w in range(first, first + m)):
                     yield first, pattern
+            low = low + 1
+            live = (low < high) & (self.whole[np.minimum(low, len(self.whole) - 1)] <= whole)
+            end, low, high, whole = end[live], low[live], high[live], whole[live]
+
+
+def _folded(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """One hash of the word hashes in each row."""
+    out = np.uint64(0)
+    for column in columns:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + column
+    return out
 
 
 def _patterns(items: list[tuple], window: int) -> dict[int, dict[tuple[bytes, ...], set[int]]]:
     """By length in words: each distinct window with the places in `items` of the items that have it."""
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
     found = words(data, offsets, ALNUM)
-    out: dict = defaultdict(lambda: defaultdict(set))
+    out: dict[int, dict] = defaultdict(lambda: defaultdict(set))
     for i in range(len(items)):
         own = [found.data[found.begin[w] : found.end[w]].tobytes() for w in range(found.first[i], found.first[i + 1])]
         n = min(window, len(own))
@@ -105,16 +116,20 @@ def _hash_words(patterns: list[tuple[bytes, ...]]) -> np.ndarray:
     return words(data, offsets, ALNUM).hashes().reshape(len(patterns), -1)
 
 
+_MADE: dict[str, list] = {}
+
+
 def _pass(frame: DataFrame, items: list[tuple], window: int, last: bool) -> DataFrame:
     """Adds to `hits` (first and end of hit words) and `items` what these items give; counts at the last pass."""
-    by_length = _patterns(items, window)
     names = [str(k) for k, _ in items]
+    shared = frame.sparkSession.sparkContext.broadcast([[(list(found), list(found.values())) for _, found in sorted(_patterns(items, window).items())], uuid.uuid4().hex])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searchers = []
-        for _, found in sorted(by_length.items()):
-            patterns = list(found)
-            searchers.append((Searcher(patterns, _hash_words(patterns)), [found[p] for p in patterns]))
+        patterns, name = shared.value
+        if name not in _MADE:  # a worker's next task has the same patterns
+            _MADE.clear()
+            _MADE[name] = [(Searcher(p, _hash_words(p)), of) for p, of in patterns]
+        searchers = _MADE[name]
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 yield _scan(part, searchers, names, last)
@@ -175,7 +190,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_column: str, text_c
     Items are read to the driver in blocks of at most PASS_WORDS words, and each block is
     searched for in a pass of its own over all rows, which stay in their
     partitions: nothing is shuffled. Null and empty texts have no words; rows with
-    equal or null ids are treated like others; items without words are
+    equal or null ids are treated like others, and a null item_id is the item "None"; items without words are
     never found. Without items nothing is hit. Other columns aren't read.
     """
     frame = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
