@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids (8 bytes each) that may be broadcast; larger sets are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of an id and a few numbers that may be broadcast; larger sets are joined by a shuffle.
+BROADCAST_IDS = 250_000
 _INFER = "spark.sql.constraintPropagation.enabled"
 
 
@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/siltlog-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes a folder of this application's, or all of them: what was read from it must not be needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path or work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so that a lost executor loses none of it.
 
@@ -55,6 +66,21 @@ def near(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_IDS if limit is None else limit) else df.hint("merge")
 
 
+def lowest(rows: DataFrame, place: str, most: int) -> int | None:
+    """The `most`-th lowest value of the column of 64-bit hashes, or the highest if there are fewer; None without rows.
+
+    Hashes are spread evenly, so those far above it are left out first: else every task would
+    send `most` of its own to the one that merges them.
+    """
+    share = min(1.0, 2 * most / max(1, rows.count()))
+    few = rows.select(place).filter(F.col(place) <= min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))
+    for values in (few, rows.select(place)):
+        n, last = values.orderBy(place).limit(most).agg(F.count(F.lit(1)), F.max(place)).first()
+        if n == most or share == 1.0:
+            return last
+    return last
+
+
 def digest(*columns: Column) -> Column:
     """A 64-bit digest of a row's columns, by which rows with the same id are told apart; nulls differ from empty strings."""
     return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
@@ -67,7 +93,7 @@ def drop_rows(docs: DataFrame, gone: DataFrame, id_column: str, *columns: str) -
     columns were judged so.
     """
     key, mark = (fresh_name(docs.columns, x) for x in ("gone_id", "gone_digest"))
-    away = near(cut(gone.filter("id is not null").select(F.col("id").alias(key), F.col("digest").alias(mark)).distinct()))
+    away = near(cut(gone.filter("id is not null").select(F.col("id").alias(key), F.col("digest").alias(mark)).distinct()), 4 * BROADCAST_IDS)  # the other side has whole texts
     same = (docs[id_column] == F.col(key)) & (digest(*[docs[c] for c in columns]) == F.col(mark))
     return docs.join(away, same, "left_anti")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
-from .common import BROADCAST_IDS, cut, shared_dir, table
+from .common import cut, near, table, work_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary, file string, offset long"
 #: Records of a file at most, so that files stay small enough to be the unit of work.
@@ -38,13 +38,12 @@ def with_revisits(pages: DataFrame, id_column: str, payload: str, least: int = 0
     """pages with payload_digest and refers_to: of rows with equal payloads of at least `least` bytes, the smallest id of them, for all rows but that.
 
     Repeated digests are counted first, with a partial count before the shuffle; up
-    to BROADCAST_IDS of them are broadcast, more are joined by a shuffle.
+    to a bound of them are broadcast, more are joined by a shuffle.
     """
     digested = pages.withColumn("payload_digest", base32_sha1(F.encode(payload, "UTF-8")))
     repeated = digested.filter(F.octet_length(payload) >= least).groupBy("payload_digest").agg(F.min(id_column).alias("first_id"), F.count(F.lit(1)).alias("n"))
     repeated = cut(repeated.filter("n > 1").drop("n"))
-    right = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated.hint("merge")
-    joined = digested.join(right, "payload_digest", "left")
+    joined = digested.join(near(repeated), "payload_digest", "left")
     again = (F.octet_length(payload) >= least) & ~F.col("first_id").eqNullSafe(F.col(id_column))
     return joined.withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
 
@@ -55,7 +54,7 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
     Of rows with equal payloads of at least `least` bytes, that with the smallest
     id becomes a response record and the others revisit records, which have no payload and refer
     to it; rows with smaller payloads are all responses. A null html is an
-    empty payload. Characters that would break a header line are written as %XX.
+    empty payload. Characters of ids and urls that would break a header line are written as %XX, and the reader leaves out a url's outer spaces.
     A null url gives no target; a null id gives a record without an id. Equal rows with the same id all become
     responses. An empty table gives an archive without records.
     """
@@ -63,7 +62,8 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
     marked = with_revisits(fixed, "id", "payload", least)
     size, revisit = F.octet_length("payload"), F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
-    uri = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), "\x00", "%00")
+    def plain(value: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(value).cast("string"), "\r", "%0D"), "\n", "%0A"), "\x00", "%00")
 
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
@@ -72,11 +72,11 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id"), F.lit(">"))),
-        line("WARC-Target-URI", uri),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), plain("id"), F.lit(">"))),
+        line("WARC-Target-URI", plain("url")),
         line("WARC-Date", F.lit(date)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to"), F.lit(">"))), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), plain("refers_to"), F.lit(">"))), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         F.concat(F.lit("Content-Length: "), F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(size), F.lit("\r\n\r\n")),
         body,
@@ -306,7 +306,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC files in the shared folder and read back, with each payload checked against its digest."""
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
     found = read_warc(spark, path, payload=False, verify=True)
 
