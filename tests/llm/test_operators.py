@@ -1,7 +1,10 @@
 """Each operator on small tables: nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns."""
 
 import base64
+import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -221,6 +224,73 @@ def test_token_count_ties():
         assert counter.word(word) == len(library.encode(word).ids)
 
 
+def test_long_words_are_counted_in_a_window(monkeypatch):
+    monkeypatch.setattr(tokencount, "SPAN", 40)
+    rng = random.Random(4)
+    pieces, unknown = tokencount.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    short, whole = tokencount.UnigramCounter(pieces, unknown), tokencount.UnigramCounter(pieces, unknown)
+    for alphabet in ("ab", "日\u0378", "abcdefghijklmnopqrstuvwxyz日"):
+        word = "▁" + "".join(rng.choice(alphabet) for _ in range(20_000))
+        got = short.word(word)
+        monkeypatch.setattr(tokencount, "SPAN", 1 << 15)
+        assert got == whole.word(word)
+        monkeypatch.setattr(tokencount, "SPAN", 40)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x" + "\t" * 2_000_000 + " y", " \n" * 500_000 + "'s", "a" + " " * 5000 + "\nb", " " * 5001, "it's" + " " * 6000 + "'ll" + "\u3000" * 7000, "x" * 1_000_000, "!" * 1_000_000, "7" * 1_000_000],
+)
+def test_long_runs_have_the_ids_of_the_library(text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    assert packing.ByteTokenizer(BYTE_BPE).encode_whole(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_normal_tails(spark):
+    z = [-8.0, -3.0, -0.5, 0.0, 0.3, 1.0, 2.0, 3.0, 5.0, 6.0, 7.0, 10.0, 30.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(secrets.log_upper(F.col("z")).alias("p")).collect()
+    for x, r in zip(z, got, strict=True):
+        assert math.exp(r["p"]) == pytest.approx(math.erfc(x / math.sqrt(2)) / 2, rel=0.02)
+
+
+def test_pairs_of_equal_characters_are_counted_exactly():
+    for letters, n in ((4, 6), (3, 8), (2, 10)):
+        seen = collections.Counter(sum(v * (v - 1) // 2 for v in collections.Counter(w).values()) for w in itertools.product(range(letters), repeat=n))
+        for s, bits in enumerate(secrets.pair_tails(letters, n)[n]):
+            assert 2.0**-bits == pytest.approx(sum(k for t, k in seen.items() if t >= s) / letters**n, rel=0.001)
+    assert all(2.0 ** -secrets.pair_tails(x)[n][-1] < 1e-28 for x in (16, 32, 36, 62, 64) for n in range(60, 65))
+
+
+def test_uniformity_is_looked_up(spark):
+    words = ["0123456789abcdef", "aaaa0000bbbb1111", "a0" * 32, "a0" * 40]
+    frame = spark.createDataFrame([(w,) for w in words], "w string").withColumn("v", F.transform(F.split("w", ""), lambda c: (F.position(c, F.lit("0123456789abcdef")) - 1).cast("long")))
+    got = [r["p"] for r in frame.select(secrets._log_uniform(F.col("v"), F.lit(16)).alias("p")).collect()]
+    for w, p in zip(words[:3], got, strict=False):
+        s = sum(k * (k - 1) // 2 for k in collections.Counter(w).values())
+        row = secrets.pair_tails(16)[len(w)]
+        assert p == pytest.approx(-math.log(2) * (row[s] if s < len(row) else secrets.LEAST_BITS))
+    assert got[3] < -50
+
+
+def test_random_spans_follow_the_procedure(spark):
+    rng = random.Random(23)
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
+    runs = ["".join(rng.choices(alphabet[: rng.choice([3, 6, 12, 36])], k=rng.randint(18, 90))) + "a1" for _ in range(150)]
+    frame = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    found = {r["doc_id"]: any(x["kind"] == 3 for x in r["spans"]) for r in secrets.find_secrets(frame, "doc_id", "text").collect()}
+    p = {r["doc_id"]: r["p"] for r in frame.select("doc_id", secrets.randomness(F.col("text")).alias("p")).collect()}
+    classes = collections.defaultdict(list)
+    for i, w in enumerate(runs):
+        classes[int(math.log2(len(w)))].append((min(math.floor(p[i] * (-4 / math.log(2))), secrets.BINS), i))
+    for rows in classes.values():
+        limit = [b for b, _ in rows if 2.0 ** (-b / 4) <= secrets.FALSE_DISCOVERY * sum(c >= b for c, _ in rows) / len(rows)]
+        for b, i in rows:
+            assert found[i] == (not limit or b < min(limit))
+    assert 20 < sum(found.values()) < 130
+
+
 def secret_spans(text):
     text, out = text or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
@@ -268,6 +338,8 @@ def test_language(spark, docs, texts, empty, odd):
     assert language.drop_unidentified(empty).count() == 0
     assert language.drop_unidentified(odd).count() == 4  # rows with a null id stay
     pages = spark.createDataFrame([(1, "https://www.a.de:80/x", '<html LANG="de"><script>the the</script><p>der garten</p>'), (2, None, None)], "page_id long, url string, html string")
+    long = spark.createDataFrame([(1, "u", "<script>" * 30_000), (2, "u", "a<!--" + "-" * 500_000 + "--->b" + "<i " * 100_000), (3, "u", "x<style>" + "y" * 700_000 + "</style >z"), (4, "u", "<!--" * 200_000)], "page_id long, url string, html string")
+    assert [r["text"].split() for r in language.from_pages(long).orderBy("page_id").collect()] == [[], ["a", "b"], ["x", "z"], []]
     a, b = language.from_pages(pages).orderBy("page_id").collect()
     assert (a["declared"], a["suffix"], a["host"], a["text"].split()) == ("de", "de", "www.a.de", ["der", "garten"]) and b["host"] is None
 
@@ -337,6 +409,39 @@ def test_license_labels_of_short_texts(text, label):
     assert label in row["labels"] and row["score"] > 0
 
 
+@pytest.mark.parametrize("label", sorted({x[0] for x in licenses.SIGNATURES}))
+def test_license_signatures_are_found(label):
+    texts = [t for x in licenses.SIGNATURES if x[0] == label for t in worded(licenses._words(x[4]).pattern)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.large_string())], ["id", "text"])
+    assert texts and all(label in r["labels"] and r["score"] > 0.5 for r in licenses._scan(batch).to_pylist())
+
+
+def test_license_wordings():
+    said = {
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal',
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software; you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "apache": "See http://www.apache.org/licenses/LICENSE-2.0 for it",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+    }
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(said))), pa.array(list(said.values()), pa.large_string())], ["id", "text"])
+    assert [x in r["labels"] for x, r in zip(said, licenses._scan(batch).to_pylist(), strict=True)] == [True] * len(said)
+
+
+def test_suppression_equals_a_plain_loop():
+    rng = random.Random(29)
+    words_ = ["mit", "apache", "license", "licensed", "under", "the", "gnu", "general", "public", "version", "2", "0", "lesser", "terms", "of", "bsd", "3", "clause", "copy"]
+    for _ in range(60):
+        joined = " ".join(rng.choice(words_) for _ in range(60))
+        present = {w for _, w in licenses._automaton().iter(joined)}
+        found = [(m.start(), m.end(), r) for r in licenses.rules() if not present.isdisjoint(r.keywords) for m in r.pattern.finditer(joined)]
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+            if not any(a <= d[0] and d[1] <= b for a, b, _ in kept):
+                kept.append(d)
+        assert licenses.detect(joined, present) == kept
+
+
 @pytest.mark.parametrize(
     ("text", "labels"),
     [
@@ -489,7 +594,7 @@ def test_decontamination(spark, docs, texts, empty, odd, monkeypatch, per_pass):
 
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_warc(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(warc, "BROADCAST_IDS", limit)
+    monkeypatch.setattr(common, "BROADCAST_IDS", limit)
     rows = [(1, "http://a/1", None), (2, "u\r\nv", "<p>é🙂\r\n\r\nWARC/1.1\r\n</p>"), (3, None, ""), (4, "http://a/4", "<p>é🙂\r\n\r\nWARC/1.1\r\n</p>"), (5, "x", "z" * 3_000_000), (None, "n", "q")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).repartition(2)
     path = str(tmp_path / "w")

@@ -52,3 +52,168 @@ def test_op5_secret_scan(spark):
         assert [x for x in all_spans if not x.startswith("random")] == spans and r["n_random"] == len(all_spans) - len(spans)
         seen.add(tuple(counts))
     assert len(seen) > 2
+
+
+def test_op1_packing(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in queries.QUERIES["op1_packing"](spark, SMALL).collect():
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    texts = table("documents", "doc_id, text")
+    assert set(pieces) == {i for i, _ in texts}
+    for i, text in texts:
+        ids, at = np.asarray([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["length"] > 0
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    padding = 0
+    for parts in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)])]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+        padding += 0 if ends[-1] & (ends[-1] - 1) == 0 else 1024 - ends[-1]
+    assert padding < 0.01 * sum(r["length"] for p in pieces.values() for r in p) + 8 * 1024
+
+
+def test_op3_toxicity(spark):
+    got = result(spark, "op3_toxicity")
+    assert set(got) == {i for (i,) in table("documents", "doc_id")}
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_op4_token_count(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from siltlog.llm.tokencount import piece_scores
+
+    library = Tokenizer(models.Unigram(*piece_scores(public_tokenizers.path("piece_bpe_32k.model")), True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    got = result(spark, "op4_token_count")
+    assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(library.encode(t or "").ids) for i, t in table("documents", "doc_id, text")}
+
+
+def test_op6_language_id(spark):
+    rows = queries.QUERIES["op6_language_id"](spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(i for (i,) in table("documents", "doc_id"))
+    assert sorted(r["page_id"] for r in rows if r["page_id"] is not None) == sorted(i for (i,) in table("pages", "page_id"))
+    said = {r["doc_id"]: r for r in rows}
+    for i, text, lang in table("documents", "doc_id, text, lang"):
+        letters = bool(re.search("[a-zA-Z\x80-\U0010ffff]", text or ""))
+        assert (said[i]["language"] is not None) == letters and (letters or not said[i]["accepted"])
+    right = [said[i]["language"] == lang for i, lang in table("documents", "doc_id, lang") if said[i]["language"]]
+    assert sum(right) > 0.95 * len(right)
+
+
+def test_op7_license_scan(spark):
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    got = result(spark, "op7_license_scan")
+    texts = table("documents", "doc_id, text")
+    assert len(got) == len(texts)
+    for i, t in texts:
+        w = re.findall(ALNUM_WORDS, (t or "").translate(LOWER))
+        places = [(k, label) for phrase, label in phrases.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"]) == (len(w), len(places))
+        assert (r["first_word"], r["last_word"]) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        base = sorted({x for _, x in places})
+        labels = r["labels"].split(",") if r["labels"] else []
+        assert r["base_labels"] == ",".join(base) and set(base) <= set(labels) and labels == sorted(set(labels)) and 0 <= r["score"] <= 1
+
+
+def components(texts):
+    sets = {}
+    for i, t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders, tried = defaultdict(list), set()
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    for ids in holders.values():
+        for a in ids:
+            for b in ids:
+                if a < b and (a, b) not in tried:
+                    tried.add((a, b))
+                    if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        u, v = find(a), find(b)
+                        root[max(u, v)] = min(u, v)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_op8_jaccard_join(spark):
+    got = result(spark, "op8_jaccard_join")
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == components(table("documents", "doc_id, text"))
+
+
+def test_op10_warc(spark):
+    got = result(spark, "op10_warc", "page_id")
+    first, pages = {}, table("pages", "page_id, coalesce(html, '')")
+    for i, html in sorted(pages):
+        first.setdefault(html, i)
+    assert len(got) == len(pages)
+    for i, html in pages:
+        body, again = html.encode(), first[html] != i
+        r = got[i]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+        assert (r["record_type"], r["refers_to"]) == (("revisit", first[html]) if again else ("response", None))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path(SMALL).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    got = queries.QUERIES[name](spark, SMALL).select(names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    columns = docs.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+        if name != "packing":
+            assert docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            kept[name] = {r["doc_id"] for r in docs.collect()}
+    assert kept["language_id"] >= {i for i, t in texts.items() if re.search("[a-zA-Z]{20}|( [a-z]+){20}", t)} and all(re.search("[a-zA-Z\x80-\U0010ffff]", texts[i]) for i in kept["language_id"])
+    clean = {i: re.sub("[\x20\x09-\x0d]", "", texts[i]) for i in kept["language_id"]}
+    best = {}
+    for i, c in clean.items():
+        best[c] = min(best.get(c, (0, 0)), (-len(texts[i]), i)) if c in best else (-len(texts[i]), i)
+    assert kept["exact_dedup"] == {i for _, i in best.values()}
+    assert kept["jaccard_join"] == {i for i, (_, c) in components([(i, texts[i]) for i in kept["exact_dedup"]]).items() if i == c}
+    windows = set()
+    for (t,) in table("benchmark", "text"):
+        w = re.findall(ALNUM_WORDS, (t or "").translate(LOWER))
+        windows |= {tuple(w[k : k + min(10, len(w))]) for k in range(len(w) - min(10, len(w)) + 1) if w}
+    sizes = {len(x) for x in windows}
+
+    def hit(t):
+        w = re.findall(ALNUM_WORDS, t.translate(LOWER))
+        return any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+
+    assert kept["decontamination"] == {i for i in kept["jaccard_join"] if not hit(texts[i])}
+    assert {r["doc_id"] for r in docs.collect()} == kept["decontamination"]
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).collect()} == kept["decontamination"]
