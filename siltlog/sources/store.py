@@ -12,6 +12,11 @@ import base64
 import json
 import logging
 import math
+import os
+import socket
+import threading
+import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import key_valid
 from ..operators import compaction, view
-from ..operators.batches import MAX_SEQUENCE
+from ..operators.batches import MAX_SEQUENCE, Limits, encoded_problem, group_batches
 from ..plans.policy import PASSES, Policy, Run, choose, due
 from .files import Files
 
@@ -50,11 +55,20 @@ class Options:
     create_if_missing: bool = True
     error_if_exists: bool = False
     event_log: bool = False
+    #: Bytes of a run's file, about; a run has as many files, written by as many tasks, as that makes.
+    file_bytes: int = 32 << 20
+    #: Bytes of the batches that are committed as one group, unless a batch alone has more.
+    group_bytes: int = 1 << 20
+    limits: Limits = field(default_factory=Limits)
+    #: Seconds after which the lock of a holder that no longer renews it may be broken.
+    lease: float = 60.0
+    #: Whether a thread flushes and compacts, so that writes don't wait for it.
+    background: bool = False
     #: Called with the name of a step before it is taken; raising there is a fault of that step.
     before: Callable[[str], None] = lambda step: None
 
     def check(self) -> None:
-        if self.policy.tail_limit < 1 or self.policy.level0_limit < 1 or self.policy.level1_bytes < 1 or not 1 <= self.bloom_bits <= 64:
+        if self.policy.tail_limit < 1 or self.policy.level0_limit < 1 or self.policy.level1_bytes < 1 or not 1 <= self.bloom_bits <= 64 or self.file_bytes < 1 or self.group_bytes < 1 or self.lease <= 0:
             raise StoreError("InvalidArgument", "an option is out of range")
 
 
@@ -99,6 +113,69 @@ class Snapshot:
     active: bool = True
 
 
+class Lease:
+    """The lock of a table: a file with its holder, host and time of expiry, which a thread renews.
+
+    A holder that was killed renews no more, so its lock is broken once it has expired. Hosts' clocks are taken to differ by much less than a
+    lease. held() tells the holder itself, ahead of each step that counts, that it has not lost it.
+    """
+
+    def __init__(self, files: Files, name: str, seconds: float):
+        self.files, self.name, self.seconds = files, name, seconds
+        self.owner = f"{socket.gethostname()}:{os.getpid()}:{uuid.uuid4().hex}"
+        self.until = 0.0
+        self._end = threading.Event()
+        self._turn = threading.Lock()
+
+    def take(self) -> bool:
+        if not self.files.create(self.name, self._text()):
+            found = self._read()
+            if found is not None and found["until"] > time.time():
+                return False
+            self.files.replace(self.name, self._text())
+            time.sleep(min(0.2, self.seconds / 10))  # another that breaks it just now
+            if (self._read() or {}).get("owner") != self.owner:
+                return False
+        threading.Thread(target=self._renew, daemon=True).start()
+        return True
+
+    def _text(self) -> str:
+        self.until = time.time() + self.seconds
+        return json.dumps({"owner": self.owner, "until": self.until})
+
+    def _read(self) -> dict | None:
+        try:
+            return json.loads(self.files.read(self.name))
+        except ValueError:
+            return None  # the holder was killed while it wrote it
+        except Exception:
+            if self.files.exists(self.name):
+                raise
+            return None
+
+    def _renew(self) -> None:
+        while not self._end.wait(self.seconds / 3):
+            with self._turn:
+                if self._end.is_set():
+                    return
+                try:
+                    if not self.held() or (self._read() or {}).get("owner") != self.owner:
+                        self.until = 0.0
+                        return
+                    self.files.replace(self.name, self._text())
+                except Exception as e:  # until it expires the next turn may do
+                    log.warning("lock of %s: %s", self.files.root, e)
+
+    def held(self) -> bool:
+        return time.time() < self.until
+
+    def release(self) -> None:
+        self._end.set()
+        with self._turn:
+            if (self._read() or {}).get("owner") == self.owner:
+                self.files.delete(self.name)
+
+
 def _bytes(x: bytes | str) -> bytes:
     return x.encode() if isinstance(x, str) else bytes(x)
 
@@ -112,7 +189,11 @@ class Store:
         self.snapshots: list[Snapshot] = []
         self.error: StoreError | None = None
         self.is_open = False
-        self.counters = {"flush_count": 0, "compaction_count": 0, "commit_count": 0, "committed_operations": 0, "max_batch_operations": 0}
+        self.counters = dict.fromkeys(("flush_count", "compaction_count", "commit_count", "committed_operations", "max_batch_operations", "committed_bytes", "runs_read", "runs_skipped"), 0)
+        self._mutex = threading.RLock()  # the manifest and the list of commits
+        self._one = threading.RLock()  # one flush, load or compaction at a time; taken before the other
+        self._wake: threading.Event | None = None
+        self._worker: threading.Thread | None = None
         self.open()
 
     # open and close
@@ -128,17 +209,42 @@ class Store:
         if not there and not self.options.create_if_missing:
             raise StoreError("InvalidArgument", f"{self.path} is missing")
         self.files.folder()
-        if not self.files.create("LOCK", ""):
+        self.lock = Lease(self.files, "LOCK", self.options.lease)
+        if not self.lock.take():
             raise StoreError("IOError", f"{self.path} is locked")
         try:
             self.manifest = self._load()
             self.commits = self._replay()
         except BaseException:
-            self.files.delete("LOCK")
+            self.lock.release()
             raise
         self.error, self.is_open = None, True
+        if self.options.background:
+            self._wake = threading.Event()
+            self._worker = threading.Thread(target=self._work, daemon=True)
+            self._worker.start()
         self._event("open")
 
+    def _work(self) -> None:
+        """Flushes and compacts whenever a write asks for it, until the table is closed."""
+        while True:
+            self._wake.wait()
+            self._wake.clear()
+            if not self.is_open:
+                return
+            try:
+                if self._tail_count() >= self.options.policy.tail_limit:
+                    self.flush()
+                self.maintain()
+            except Exception as e:
+                self.error = self.error or StoreError("IOError", f"maintenance: {e}")
+                return
+
+    def drain(self) -> None:
+        """Returns when a background flush or compaction that is under way has ended; the tail may have writes."""
+        with self._one:
+            pass
+
     def close(self) -> None:
         """Flushes the tail and releases the lock; snapshots end. Closing again is no error."""
         if not self.is_open:
@@ -148,10 +254,14 @@ class Store:
                 self.flush()
         finally:
             self.is_open = False
+            if self._worker is not None:
+                self._wake.set()
+                self._worker.join()
+                self._worker = None
             for s in self.snapshots:
                 s.active = False
             self.snapshots = []
-            self.files.delete("LOCK")
+            self.lock.release()
             self._event("close")
         if self.error:
             raise self.error
@@ -202,6 +312,9 @@ class Store:
 
     def _save(self, manifest: Manifest) -> None:
         """Makes a manifest count. If that fails it may count nevertheless: the handle takes no more writes, and a new open decides."""
+        if not self.lock.held():
+            self.error = StoreError("IOError", f"the lock of {self.path} was lost")
+            raise self.error
         manifest = replace(manifest, version=self.manifest.version + 1)
         name = f"{manifest.version:06d}.json"
         try:
@@ -222,6 +335,8 @@ class Store:
             raise StoreError("IOError", "closed")
         if self.error:
             raise self.error
+        if not self.lock.held():
+            raise StoreError("IOError", f"the lock of {self.path} was lost")
 
     # writes
 
@@ -236,18 +351,38 @@ class Store:
         self.write_all([batch])
 
     def write_all(self, batches: Iterable[Iterable[tuple]]) -> None:
-        """Commits batches that were queued together as one group, in one file."""
+        """Commits batches that were queued together, in order: groups of whole batches as group_batches() makes them, each in one file. If any is invalid, none is committed."""
         self._check()
-        rows = []
-        for op, key, *value in (row for batch in batches for row in batch):
-            key, value = _bytes(key), _bytes(value[0]) if value else b""
-            if not key or any(x in key for x in _FORBIDDEN):
-                raise StoreError("InvalidArgument", "a key is empty or has TAB, NL or NUL")
-            if op not in ("put", "delete") or (op == "delete" and value):
-                raise StoreError("InvalidArgument", f"no such operation: {op}")
-            rows.append((op == "delete", key, value))
-        if not rows:
-            return
+        queued = []
+        for batch in batches:
+            rows = []
+            for op, key, *value in batch:
+                key, value = _bytes(key), _bytes(value[0]) if value else b""
+                if not key or any(x in key for x in _FORBIDDEN):
+                    raise StoreError("InvalidArgument", "a key is empty or has TAB, NL or NUL")
+                if op not in ("put", "delete") or (op == "delete" and value):
+                    raise StoreError("InvalidArgument", f"no such operation: {op}")
+                rows.append((op == "delete", key, value))
+            if problem := encoded_problem([(k, v) for _, k, v in rows], self.options.limits):
+                raise StoreError("InvalidArgument", problem)
+            if rows:
+                queued.append(rows)
+        sizes = [sum(9 + len(k) + len(v) for _, k, v in rows) for rows in queued]
+        with self._mutex:
+            for group in group_batches(sizes, self.options.group_bytes):
+                self._commit([queued[i] for i in group], sum(sizes[i] for i in group))
+        if self._tail_count() >= self.options.policy.tail_limit:
+            if self._wake is not None:
+                self._wake.set()
+            else:
+                self.flush()
+                self.maintain()
+
+    def _tail_count(self) -> int:
+        return sum(b - a + 1 for a, b, _ in self.commits)
+
+    def _commit(self, group: list[list[tuple[bool, bytes, bytes]]], size: int) -> None:
+        rows = [row for batch in group for row in batch]
         first = self.manifest.last_sequence + 1
         last = first + len(rows) - 1
         if last > MAX_SEQUENCE:
@@ -267,10 +402,8 @@ class Store:
         self.manifest = replace(self.manifest, last_sequence=last)
         self.counters["commit_count"] += 1
         self.counters["committed_operations"] += len(rows)
-        self.counters["max_batch_operations"] = max(self.counters["max_batch_operations"], len(rows))
-        if sum(b - a + 1 for a, b, _ in self.commits) >= self.options.policy.tail_limit:
-            self.flush()
-            self.maintain()
+        self.counters["committed_bytes"] += size
+        self.counters["max_batch_operations"] = max([self.counters["max_batch_operations"], *map(len, group)])
 
     def load(self, ops: DataFrame, positions: list[str]) -> None:
         """Commits a large table of (k, deleted, v) as one run of level 0, with sequences in the order of `positions` columns, which are unique together.
@@ -278,8 +411,13 @@ class Store:
         Rows are numbered range by range of the order: no task sees all of them.
         """
         self._check()
-        if self.commits:
+        with self._one:
             self.flush()
+            with self._mutex:
+                self._load_rows(ops, positions)
+        self.maintain()
+
+    def _load_rows(self, ops: DataFrame, positions: list[str]) -> None:
         if not ops.filter(~key_valid(F.col("k"))).isEmpty():
             raise StoreError("InvalidArgument", "a key is empty or has TAB, NL or NUL")
         dealt = ops.repartitionByRange(*positions).sortWithinPartitions(*positions).withColumn("place", F.monotonically_increasing_id())
@@ -294,17 +432,16 @@ class Store:
         start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("part")]
         inside = F.col("place").bitwiseAND((1 << 33) - 1)
         rows = dealt.select(F.col("k").cast("binary"), (start + inside + 1).cast("long").alias("seq"), "deleted", F.coalesce(F.col("v").cast("binary"), F.lit(b"")).alias("v"))
-        self._publish(rows, 0, [], flushed=total)
+        self._publish(rows, 0, [], self.files.size("staging"), flushed=total)
         self.files.delete("staging")
-        self.maintain()
 
     # reads
 
     def _scan(self, run: RunFile) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{run.path}")
 
-    def _tail(self) -> DataFrame:
-        kept = [f"{self.path}/{name}" for _, _, name in self.commits]
+    def _tail(self, commits: list[tuple[int, int, str]] | None = None) -> DataFrame:
+        kept = [f"{self.path}/{name}" for _, _, name in (self.commits if commits is None else commits)]
         if not kept:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema("seq long, deleted boolean, k string, v string, crc long").option("mode", "FAILFAST").json(kept)
@@ -318,7 +455,9 @@ class Store:
             raise StoreError("IOError", "closed")
         out = self._tail()
         for run in self.manifest.runs:
-            if (run.low is None) or ((high is None or run.low <= high.hex()) and (low is None or run.high >= low.hex())):
+            met = (run.low is None) or ((high is None or run.low <= high.hex()) and (low is None or run.high >= low.hex()))
+            self.counters["runs_read" if met else "runs_skipped"] += 1
+            if met:
                 out = out.unionByName(self._scan(run))
         if low is not None:
             out = out.filter(F.col("k") >= F.lit(low))
@@ -373,14 +512,16 @@ class Store:
         low, high = (None if x is None else x.lower() for x in (r["lo"], r["hi"]))
         return RunFile(number, level, r["size"] or 0, r["n"], low, high, path), r["n"]
 
-    def _publish(self, rows: DataFrame, level: int, inputs: list[RunFile], flushed: int | None = None) -> None:
-        """Writes a run sorted by key and falling sequence, and has the manifest name it in place of its inputs."""
-        number = self.manifest.next_number
+    def _publish(self, rows: DataFrame, level: int, inputs: list[RunFile], size: int, flushed: int | None = None) -> None:
+        """Writes a run of about `size` bytes sorted by key and falling sequence, ranges of keys side by side, and has the manifest name it in place of its inputs."""
+        with self._mutex:
+            number = self.manifest.next_number
+            self.manifest = replace(self.manifest, next_number=number + 1)
         path = f"runs/run_{number:06d}"
         self.files.delete(path)
         # what a split-block filter with so many bits a key errs at; Parquet derives sizes from it
         wrong = (1 - math.exp(-8 / self.options.bloom_bits)) ** 8
-        n_files = max(1, sum(r.size for r in inputs) // (128 << 20))
+        n_files = max(1, -(-size // self.options.file_bytes))
         writer = (
             rows.select("k", "seq", "deleted", "v")
             .repartitionByRange(n_files, "k")
@@ -395,43 +536,47 @@ class Store:
         writer.parquet(f"{self.path}/{path}")
         run, _ = self._describe(number, level, path)
         self.options.before("publish")
-        live = {r.number for r in self.manifest.runs}
-        if not {r.number for r in inputs} <= live:
-            return  # another publish was first: the output is left for vacuum()
-        gone = {r.number for r in inputs}
-        runs = tuple(r for r in self.manifest.runs if r.number not in gone) + (run,)
-        moved = {} if flushed is None else {"flushed": flushed, "last_sequence": max(flushed, self.manifest.last_sequence)}
-        self._save(replace(self.manifest, next_number=number + 1, runs=runs, **moved))
+        with self._mutex:
+            live, gone = {r.number for r in self.manifest.runs}, {r.number for r in inputs}
+            if not gone <= live:
+                return  # another publish was first: the output is left for vacuum()
+            runs = tuple(r for r in self.manifest.runs if r.number not in gone) + (run,)
+            moved = {} if flushed is None else {"flushed": flushed, "last_sequence": max(flushed, self.manifest.last_sequence)}
+            self._save(replace(self.manifest, runs=runs, **moved))
 
     def flush(self) -> None:
         """Moves the tail to a run of level 0, with all of its versions."""
         self._check()
-        if not self.commits:
-            return
-        last = self.commits[-1][1]
-        self.options.before("flush")
-        self._publish(self._tail(), 0, [], flushed=last)
-        for _, _, name in self.commits:
-            self.files.delete(name)
-        self.commits = []
-        self.counters["flush_count"] += 1
+        with self._one:
+            with self._mutex:
+                taken = list(self.commits)
+            if not taken:
+                return
+            self.options.before("flush")
+            self._publish(self._tail(taken), 0, [], sum(self.files.size(name) for _, _, name in taken), flushed=taken[-1][1])
+            with self._mutex:
+                self.commits = self.commits[len(taken) :]
+            for _, _, name in taken:
+                self.files.delete(name)
+            self.counters["flush_count"] += 1
         self._event("flush")
 
     def compact(self) -> bool:
         """One pass over the runs; the tail isn't flushed. False if there is nothing to do."""
         self._check()
-        chosen = choose(list(self.manifest.runs))
-        if chosen is None:
-            return False
-        inputs, level = chosen
-        rows = self._scan(inputs[0])
-        for run in inputs[1:]:
-            rows = rows.unionByName(self._scan(run))
-        oldest = min((s.sequence for s in self.snapshots), default=0)
-        self._publish(compaction.retain(rows, last_level=level == 2, oldest_snapshot=oldest), level, inputs)
-        self.counters["compaction_count"] += 1
-        self._event(f"compaction to level {level}")
-        return True
+        with self._one:
+            chosen = choose(list(self.manifest.runs))
+            if chosen is None:
+                return False
+            inputs, level = chosen
+            rows = self._scan(inputs[0])
+            for run in inputs[1:]:
+                rows = rows.unionByName(self._scan(run))
+            oldest = min((s.sequence for s in self.snapshots), default=0)
+            self._publish(compaction.retain(rows, last_level=level == 2, oldest_snapshot=oldest), level, inputs, sum(r.size for r in inputs))
+            self.counters["compaction_count"] += 1
+            self._event(f"compaction to level {level}")
+            return True
 
     def maintain(self) -> None:
         """Compacts while the policy asks for it, a few passes at most."""
@@ -452,5 +597,8 @@ class Store:
         return gone
 
     def stats(self) -> dict[str, int]:
-        levels = [sum(r.level == k for r in self.manifest.runs) for k in range(3)]
-        return {"run_count": len(self.manifest.runs), **{f"level{k}_run_count": n for k, n in enumerate(levels)}, "last_sequence": self.manifest.last_sequence, **self.counters}
+        """Counts of this handle, and sizes of the table: runs, versions and bytes by level, and what the tail holds."""
+        runs = self.manifest.runs
+        levels = {f"level{k}_{what}": sum(of(r) for r in runs if r.level == k) for k in range(3) for what, of in (("run_count", lambda _: 1), ("versions", lambda r: r.versions), ("bytes", lambda r: r.size))}
+        tail = {"tail_operations": self._tail_count(), "tail_commits": len(self.commits)}
+        return {"run_count": len(runs), **levels, **tail, "last_sequence": self.manifest.last_sequence, **self.counters}

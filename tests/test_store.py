@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from siltlog.operators.batches import Batch, Limits
 from siltlog.plans.policy import Policy
 from siltlog.sources import Options, Store, StoreError
 from siltlog.streaming import ingest
@@ -149,3 +151,73 @@ def test_command_line(spark, tmp_path, capfdbinary):
             run(store, "put", ["a"])
     assert capfdbinary.readouterr().out.endswith(b"c\t3\n")
     assert parse_batch(["put", "k", "v"]) == [("put", "k", "v")]
+
+
+def test_lock_of_a_killed_holder_expires(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store = Store(spark, path, Options(lease=1.5))
+    store.put("a", "1")
+    time.sleep(2)
+    with pytest.raises(StoreError, match="locked"):  # it was renewed
+        Store(spark, path)
+    store.lock._end.set()  # as if the process had been killed
+    time.sleep(2)
+    with Store(spark, path) as other:
+        assert rows(other.view()) == {b"a": b"1"}
+        with pytest.raises(StoreError, match="lock"):
+            store.put("b", "2")
+        other.put("c", "3")
+    with pytest.raises(StoreError, match="lock"):
+        store.close()
+
+
+def test_background_maintenance(spark, tmp_path):
+    with Store(spark, str(tmp_path / "t"), small(background=True)) as store:
+        for i in range(30):
+            store.put(f"k{i % 9}", str(i))
+        want = {f"k{i % 9}".encode(): str(i).encode() for i in range(30)}
+        assert rows(store.view()) == want
+        for _ in range(100):
+            if store.stats()["flush_count"]:
+                break
+            time.sleep(0.1)
+        assert store.stats()["flush_count"] >= 1
+        store.drain()
+    with Store(spark, str(tmp_path / "t")) as store:
+        assert rows(store.view()) == want and store.stats()["tail_operations"] == 0
+
+
+def test_large_loads_are_written_by_many_tasks(spark, tmp_path):
+    frame = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("k"), F.lit(False).alias("deleted"), F.sha2(F.col("id").cast("string"), 256).alias("v"), "id")
+    with Store(spark, str(tmp_path / "t"), Options(file_bytes=200_000)) as store:
+        store.load(frame, ["id"])
+        run = store.manifest.runs[0]
+        assert len(list((tmp_path / "t" / run.path).glob("*.parquet"))) > 4
+        assert store.view().count() == 20_000
+        store.get("0")
+        store.get("ffffffffffffffffffffffffffffffffffff")
+        assert store.stats()["runs_skipped"] == 2
+
+
+def test_groups_and_limits(spark, tmp_path):
+    with Store(spark, str(tmp_path / "t"), Options(group_bytes=54, limits=Limits(operations=3, value=10))) as store:
+        store.write_all([[("put", "x", "A"), ("put", "p", "1"), ("put", "q", "2")], [("delete", "x"), ("put", "x", "B")], [("put", "x", "C"), ("delete", "m")]])
+        assert store.stats()["commit_count"] == 2 and store.stats()["committed_operations"] == 7 and store.get("x") == b"C"
+        for bad, why in (([("put", "a", "1")] * 4, "operations"), ([("put", "a", "x" * 11)], "value")):
+            with pytest.raises(StoreError, match=why):
+                store.write(bad)
+        batch = Batch().put(b"a", b"1").delete(b"b")
+        store.write(batch)
+        assert store.get("a") == b"1"
+
+
+def test_batch_encoding():
+    batch = Batch().put(b"k", b"\x00v").delete(b"d").put(b"e", b"")
+    assert Batch.decode(batch.encode()).operations == batch.operations and len(Batch.decode(b"")) == 0
+    for bad in (batch.encode()[:-1], b"\x03" + bytes(8), b"\x02\x01\x00\x00\x00\x01\x00\x00\x00kv", b"\x01\x00"):
+        with pytest.raises(ValueError):
+            Batch.decode(bad)
+    batch.append(batch)
+    assert len(batch) == 6
+    batch.clear()
+    assert len(batch) == 0
