@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import overlaps
-from .operators import batches, compaction, view
-from .replication import log
-from .vectors import top_k
+from .functions import codecs
+from .operators import batches, bloom, compaction, measure, ranges, view
+from .replication import log, state, transfer
+from .sources import Options, Store
+from .sources.places import shared_folder
+from .streaming import ingest
+from .vectors import search_batch, top_k
 
 #: Operations of a batch and versions of a run in the derived op log; the first divides the second, so runs end with batches.
 BATCH, RUN = 32, 1024
@@ -33,13 +36,20 @@ def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def last_sequence(spark: SparkSession, sf_dir: str) -> int:
-    return load(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0] or 0
+def last_sequence(spark: SparkSession, sf_dir: str) -> Column:
+    """The log's last sequence, as a subquery of the plan that uses it."""
+    return load(spark, sf_dir, "events").agg(F.coalesce(F.max("event_id") + 1, F.lit(0)).alias("top")).scalar()
+
+
+def share(number: Column, times: int, over: int) -> Column:
+    """number * times / over, rounded down."""
+    product = number * times
+    return ((product - F.pmod(product, F.lit(over))) / over).cast("long")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of probes of orders: a key and a sequence for every 97th."""
-    return load(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(
+    """As-of probes of orders: a key and a sequence for each."""
+    return load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("probe_id"),
         F.concat(F.lit("user:"), F.lpad((F.col("o_custkey") % 200).cast("string"), 6, "0")).alias("k"),
         (F.col("o_orderkey") % 10000).alias("s"),
@@ -57,7 +67,7 @@ def get_latest(spark, sf_dir):
 
 def get_snapshot(spark, sf_dir):
     """The view as of the middle of the log."""
-    return _live(view.visible(ops(spark, sf_dir), last_sequence(spark, sf_dir) // 2))
+    return _live(view.visible(ops(spark, sf_dir), share(last_sequence(spark, sf_dir), 1, 2)))
 
 
 def get_key(spark, sf_dir):
@@ -89,13 +99,12 @@ def version_history(spark, sf_dir):
 
 
 def snapshot_diff(spark, sf_dir):
-    last = last_sequence(spark, sf_dir)
-    return view.diff(ops(spark, sf_dir), last * 3 // 10)
+    return view.diff(ops(spark, sf_dir), share(last_sequence(spark, sf_dir), 3, 10))
 
 
 def batch_prefix(spark, sf_dir):
     """The view after a crash in the middle of the log: whole batches only."""
-    boundary = last_sequence(spark, sf_dir) // BATCH // 3
+    boundary = share(last_sequence(spark, sf_dir), 1, 3 * BATCH)
     return _live(view.visible(batches.batch_prefix(ops(spark, sf_dir), boundary)))
 
 
@@ -130,21 +139,16 @@ def _meta(spark, sf_dir):
 
 
 def runs_for_key(spark, sf_dir):
-    """Runs whose key range a probe's key is in: the files that a read may not skip.
-
-    A probe meets the small metadata of each run, one row a file, so the result itself has their product at most.
-    """
-    return probes(spark, sf_dir).join(_meta(spark, sf_dir), F.col("k").between(F.col("lo"), F.col("hi"))).select("probe_id", "k", "run")
+    """Runs whose key range a probe's key is in: the files that a read may not skip."""
+    return ranges.containing(probes(spark, sf_dir), "k", _meta(spark, sf_dir), "lo", "hi").select("probe_id", "k", "run")
 
 
 def run_overlap(spark, sf_dir):
-    a = _meta(spark, sf_dir).select(F.col("run").alias("run_a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    b = _meta(spark, sf_dir).select(F.col("run").alias("run_b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    return a.join(b, (F.col("run_a") < F.col("run_b")) & overlaps(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))).select("run_a", "run_b")
+    return ranges.overlapping(_meta(spark, sf_dir), "run", "lo", "hi")
 
 
 def _old_runs(spark, sf_dir):
-    return ops(spark, sf_dir).filter(F.col("run") < last_sequence(spark, sf_dir) // RUN // 2 + 1)
+    return ops(spark, sf_dir).filter(F.col("run") < share(last_sequence(spark, sf_dir), 1, 2 * RUN) + 1)
 
 
 def compact_l1(spark, sf_dir):
@@ -156,14 +160,14 @@ def compact_l2(spark, sf_dir):
 
 
 def compact_pinned(spark, sf_dir):
-    pin = last_sequence(spark, sf_dir) * 3 // 10
+    pin = share(last_sequence(spark, sf_dir), 3, 10)
     return compaction.retain(_old_runs(spark, sf_dir), last_level=True, oldest_snapshot=pin).select("k", "seq", "deleted", "v")
 
 
 def compaction_equiv(spark, sf_dir):
     """The view before and after the older half of the runs is compacted."""
     all_ops = ops(spark, sf_dir)
-    cut = last_sequence(spark, sf_dir) // RUN // 2 + 1
+    cut = share(last_sequence(spark, sf_dir), 1, 2 * RUN) + 1
     merged = compaction.retain(all_ops.filter(F.col("run") < cut), last_level=False).unionByName(all_ops.filter(F.col("run") >= cut))
     return compaction.differences(_live(view.visible(all_ops)), _live(view.visible(merged)))
 
@@ -188,8 +192,8 @@ def log_matching(spark, sf_dir):
     """Where the logs of two nodes differ first, and in how many entries."""
     events, last = load(spark, sf_dir, "events"), last_sequence(spark, sf_dir)
     term = (1 + F.floor(F.col("event_id") / 1000)).cast("long")
-    a = events.filter(F.col("event_id") < last // 2).select((F.col("event_id") + 1).alias("idx"), term.alias("term"))
-    b = events.filter(F.col("event_id") < last * 48 // 100).select((F.col("event_id") + 1).alias("idx"), (term + (F.col("event_id") >= last * 42 // 100).cast("int")).alias("term"))
+    a = events.filter(F.col("event_id") < share(last, 1, 2)).select((F.col("event_id") + 1).alias("idx"), term.alias("term"))
+    b = events.filter(F.col("event_id") < share(last, 48, 100)).select((F.col("event_id") + 1).alias("idx"), (term + (F.col("event_id") >= share(last, 42, 100)).cast("int")).alias("term"))
     return log.first_difference(a, b)
 
 
@@ -220,6 +224,135 @@ def vector_topk(spark, sf_dir):
     return top_k(vectors, [float(x) for x in query[0]] if query else [], 10)
 
 
+def _stored(spark, sf_dir, options: Options | None = None) -> Store:
+    """A new table in the shared folder."""
+    return Store(spark, shared_folder(spark, "store"), options)
+
+
+def _read(frame: DataFrame) -> DataFrame:
+    return frame.select(F.col("k").cast("string").alias("k"), "seq", F.col("v").cast("string").alias("v"))
+
+
+def _parts(spark, sf_dir, n: int) -> list[DataFrame]:
+    """The operations of events in n parts by position."""
+    rows = load(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0] or 0
+    events = ops(spark, sf_dir).select("k", "deleted", "v", "seq")
+    return [events.filter(F.col("seq").between(rows * i // n + 1, rows * (i + 1) // n)) for i in range(n)]
+
+
+def store_latest(spark, sf_dir):
+    """Events loaded into a table in three parts, and its live rows."""
+    with _stored(spark, sf_dir) as store:
+        for part in _parts(spark, sf_dir, 3):
+            store.load(part, ["seq"])
+        return _read(store.view())
+
+
+def store_snapshot(spark, sf_dir):
+    """What a snapshot sees that was taken after the first half, when the rest was loaded and all was compacted."""
+    with _stored(spark, sf_dir) as store:
+        first, rest = _parts(spark, sf_dir, 2)
+        store.load(first, ["seq"])
+        pin = store.snapshot()
+        store.load(rest, ["seq"])
+        store.compact()
+        return _read(store.view(pin))
+
+
+def store_after_compaction(spark, sf_dir):
+    """The live rows after compactions to the last level."""
+    with _stored(spark, sf_dir) as store:
+        for part in _parts(spark, sf_dir, 4):
+            store.load(part, ["seq"])
+        store.compact()
+        store.compact()
+        return _read(store.view())
+
+
+def store_reopen(spark, sf_dir):
+    """A table that was written, deleted from and closed, opened again: its live rows but for 50 keys that are deleted by a batch (limits are the feature)."""
+    store = _stored(spark, sf_dir)
+    with store:
+        for part in _parts(spark, sf_dir, 2):
+            store.load(part, ["seq"])
+        store.write([("delete", f"user:{i:06d}") for i in range(50)])
+    with Store(spark, store.path) as again:
+        return _read(again.view())
+
+
+def stream_ingest(spark, sf_dir):
+    """Events read as a stream into a table, and its live rows."""
+    schema = load(spark, sf_dir, "events").schema
+    gone = F.col("event_type") == "error"
+    with _stored(spark, sf_dir) as store:
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+        rows = stream.select(F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("k"), gone.alias("deleted"), F.when(gone, F.lit("")).otherwise(F.col("props")).alias("v"), "event_id")
+        ingest(rows, store, f"{store.path}-stream", ["event_id"]).awaitTermination()
+        return _read(store.view())
+
+
+def state_round_trip(spark, sf_dir):
+    """The live rows after an export as checked records, and an import into another table."""
+    with _stored(spark, sf_dir) as store, _stored(spark, sf_dir) as other:
+        store.load(_parts(spark, sf_dir, 1)[0], ["seq"])
+        path = f"{store.path}-export"
+        transfer.export(store.view().select("k", "v"), path, index=1, term=1, partitions=4)
+        transfer.restore(spark, path, other)
+        return _read(other.view()).select("k", "v")
+
+
+def batch_limits(spark, sf_dir):
+    """Batches with what is wrong with each, under small limits."""
+    few = batches.Limits(operations=32, key=11, value=36, total=1100, overhead=0)
+    return batches.batch_problems(ops(spark, sf_dir), few)
+
+
+def vote_counts(spark, sf_dir):
+    """Votes of events taken as requests: a term is 500 events, the candidate and the node follow from the user, errors are refusals."""
+    events = load(spark, sf_dir, "events")
+    votes = events.select((1 + F.floor(F.col("event_id") / 500)).cast("long").alias("term"), (F.col("user_id") % 2).alias("candidate"), (F.col("user_id") % 3).alias("node"), (F.col("event_type") != "error").alias("granted"))
+    return state.vote_counts(votes, nodes=3)
+
+
+def value_percentiles(spark, sf_dir):
+    """Percentiles of the values of each type of event, by nearest rank."""
+    return measure.percentiles(load(spark, sf_dir, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
+
+
+def internal_keys(spark, sf_dir):
+    """Encoded keys of all versions, and what they decode to."""
+    coded = ops(spark, sf_dir).select("k", "seq", codecs.internal_key(F.col("k"), F.col("seq")).alias("data"))
+    return coded.select(F.lower(F.hex("data")).alias("coded"), codecs.user_key(F.col("data")).cast("string").alias("k"), codecs.key_sequence(F.col("data")).alias("seq"))
+
+
+def key_filters(spark, sf_dir):
+    """Runs and keys of probes: how many keys of a run its filter rules out (none), and the size of the filter."""
+    log_ = ops(spark, sf_dir)
+    filters = bloom.build_filters(log_, bits_per_key=10)
+    asked = bloom.may_contain(log_.select("run", "k").distinct(), filters)
+    sizes = filters.select("run", "bits", F.col("hashes").cast("long").alias("hashes")).distinct()
+    return asked.groupBy("run").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(~F.col("maybe")).alias("n_missed")).join(sizes, "run")
+
+
+def term_order(spark, sf_dir):
+    """Entries of a log with a term below that of the entry before: terms fall with every 700th event."""
+    entries = load(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("idx"), (2 + F.floor(F.col("event_id") / 1000) - (F.col("event_id") % 700 == 699).cast("int")).cast("long").alias("term"))
+    return state.bad_terms(entries, state.NodeState("q", term=1 << 40))
+
+
+def chunk_transfer(spark, sf_dir):
+    """How far files came of which some chunks were lost: a file is a user's events, a chunk 16 bytes of their props."""
+    sizes = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("name")).agg(F.sum(F.octet_length("props")).cast("long").alias("size"))
+    chunks = transfer.chunk_plan(sizes, 16).filter(F.pmod(F.col("name") * 31 + F.col("offset"), F.lit(41)) != 7)
+    return transfer.received(chunks, sizes)
+
+
+def vector_search(spark, sf_dir):
+    """The five nearest vectors of all to each whose id 50 divides."""
+    vectors = load(spark, sf_dir, "embeddings")
+    return search_batch(vectors, vectors.filter("vec_id % 50 = 0"), 5).select("query_id", F.col("id").alias("vec_id"), F.round("dist", 6).alias("dist"), "rank")
+
+
 def _number(queries: list[Callable]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f"q{i:02d}_{f.__name__}": f for i, f in enumerate(queries, 1)}
 
@@ -229,6 +362,8 @@ QUERIES = _number(
         get_latest, get_snapshot, get_key, multi_get_asof, scan_first, seek_limit, range_between, tombstoned_keys, version_history, snapshot_diff,
         batch_prefix, batch_sizes, invalid_keys, sequence_assign, wal_monotonic, run_metadata, runs_for_key, run_overlap, compact_l1, compact_l2,
         compact_pinned, compaction_equiv, space_amplification, state_export_order, majority_commit, log_matching, vector_topk, status_counts, crc_per_batch, level_stats,
+        store_latest, store_snapshot, store_after_compaction, store_reopen, stream_ingest, state_round_trip, batch_limits, vote_counts, value_percentiles, internal_keys,
+        key_filters, term_order, chunk_transfer, vector_search,
     ]
 )
 
@@ -243,7 +378,7 @@ live as (select k, seq, v from (select *, row_number() over (partition by k orde
 _META = "meta as (select run, min(k) as lo, max(k) as hi from ops group by run)"
 _PROBES = """
 probes as (select o_orderkey as probe_id, concat('user:', lpad(cast(o_custkey % 200 as varchar), 6, '0')) as k, o_orderkey % 10000 as s
-           from orders where o_orderkey % 97 = 0)"""
+           from orders)"""
 _ASOF = """
 found as (select * from (select p.probe_id, p.k, p.s, o.seq, o.deleted, o.v, row_number() over (partition by p.probe_id order by o.seq desc nulls last) as rn
                          from probes p left join ops o on o.k = p.k and o.seq <= p.s) where rn = 1),
@@ -302,6 +437,30 @@ _SQL = {
     "vector_topk": """with q as (select embedding as e from embeddings where vec_id = 0)
         select vec_id, sqrt(list_sum(list_transform(list_zip(embedding, e), lambda x: (cast(x[1] as double) - cast(x[2] as double)) * (cast(x[1] as double) - cast(x[2] as double))))) as dist
         from embeddings, q order by dist, vec_id limit 10""",
+    "store_latest": f"with {_OPS}, {_LIVE} select * from live",
+    "store_snapshot": f"with {_OPS} {_at('seq <= top // 2')}",
+    "store_after_compaction": f"with {_OPS}, {_LIVE} select * from live",
+    "store_reopen": f"with {_OPS}, {_LIVE} select * from live where k >= 'user:000050'",
+    "stream_ingest": f"with {_OPS}, {_LIVE} select * from live",
+    "state_round_trip": f"with {_OPS}, {_LIVE} select k, v from live",
+    "batch_limits": f"""with {_OPS}, b as (select batch_id, count(*) as n, max(strlen(k)) as key, max(strlen(v)) as value, cast(sum(strlen(k) + strlen(v)) as bigint) as total,
+            bool_or(k = '' or instr(k, chr(9)) > 0 or instr(k, chr(10)) > 0) as bad_key, bool_or(deleted and v <> '') as bad_delete from ops group by batch_id)
+        select batch_id, n, total, case when bad_key then 'a key is empty or has TAB, NL or NUL' when bad_delete then 'a delete carries a value' when n > 32 then 'too many operations'
+            when key > 11 then 'a key is too large' when value > 36 then 'a value is too large' when total > 1100 then 'the batch is too large' end as problem from b""",
+    "vote_counts": """select term, candidate, votes, votes >= 2 as won from (
+            select 1 + cast(floor(event_id / 500) as bigint) as term, user_id % 2 as candidate, count(distinct user_id % 3) as votes from events where event_type <> 'error' group by 1, 2)""",
+    "value_percentiles": """select event_type, min(value) filter (upto >= ceil(0.5 * n)) as p50, min(value) filter (upto >= ceil(0.95 * n)) as p95, min(value) filter (upto >= ceil(0.99 * n)) as p99
+        from (select event_type, value, count(*) over (partition by event_type) as n, count(*) over (partition by event_type order by value) as upto from events) group by event_type""",
+    "internal_keys": f"""with {_OPS} select lower(hex(k)) || '00' || lower(lpad(hex(18446744073709551615::ubigint - seq::ubigint), 16, '0')) as coded, k, seq from ops""",
+    "key_filters": f"""with {_OPS} select run, count(distinct k) as n_keys, 0 as n_missed, greatest(64, 10 * count(distinct k)) as bits, 6 as hashes from ops group by run""",
+    "term_order": """with e as (select event_id + 1 as idx, 2 + cast(floor(event_id / 1000) as bigint) - case when event_id % 700 = 699 then 1 else 0 end as term from events)
+        select idx, term from (select idx, term, lag(term) over (order by idx) as before from e) where term < before""",
+    "chunk_transfer": """with f as (select user_id as name, cast(sum(strlen(props)) as bigint) as size from events group by user_id),
+        lost as (select name, min(o) as gap from (select name, unnest(range(0, size, 16)) as o from f) where (name * 31 + o) % 41 = 7 group by name)
+        select name, coalesce(gap, size) as next_offset, gap is null as complete from f left join lost using (name)""",
+    "vector_search": """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 50 = 0),
+        d as (select query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, e), lambda x: (cast(x[1] as double) - cast(x[2] as double)) * (cast(x[1] as double) - cast(x[2] as double))))) as dist from embeddings, q)
+        select query_id, vec_id, round(dist, 6) as dist, rank from (select *, row_number() over (partition by query_id order by dist, vec_id) as rank from d) where rank <= 5""",
     "status_counts": f"with {_OPS}, {_PROBES}, {_ASOF} select status, count(*) as n from answer group by status",
 }
 _NAMES = {name.split("_", 1)[1]: name for name in QUERIES}

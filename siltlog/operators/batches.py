@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import OPERATION_OVERHEAD, key_valid, operation_bytes
@@ -115,7 +115,7 @@ class Batch:
         return out
 
 
-def batch_prefix(ops: DataFrame, last_batch: int) -> DataFrame:
+def batch_prefix(ops: DataFrame, last_batch: int | Column) -> DataFrame:
     """Operations of the batches up to a boundary, as recovery sees them."""
     return ops.filter(F.col("batch_id") <= last_batch)
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .view import newest, visible
 
 
-def retain(versions: DataFrame, last_level: bool, oldest_snapshot: int = 0, key: str = "k", seq: str = "seq", deleted: str = "deleted") -> DataFrame:
+def retain(versions: DataFrame, last_level: bool, oldest_snapshot: int | Column = 0, key: str = "k", seq: str = "seq", deleted: str = "deleted") -> DataFrame:
     """What a compaction writes.
 
     Without a snapshot (0) the newest version of each key, and no deleted ones at the
     last level. With one, all versions above it and the newest up to it, deleted
     ones too, at every level.
     """
-    if not oldest_snapshot:
+    if isinstance(oldest_snapshot, int) and not oldest_snapshot:
         kept = newest(versions, key=key, seq=seq)
         return kept.filter(~F.col(deleted)) if last_level else kept
     later = F.col(seq) > oldest_snapshot

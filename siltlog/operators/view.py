@@ -7,11 +7,11 @@ ones afterwards: the other way round would bring old values back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def newest(ops: DataFrame, snapshot: int | None = None, key: str = "k", seq: str = "seq") -> DataFrame:
+def newest(ops: DataFrame, snapshot: int | Column | None = None, key: str = "k", seq: str = "seq") -> DataFrame:
     """The newest version of each key up to the snapshot, deleted or not.
 
     Rank 1 of a window: Spark keeps one row a key before the shuffle (WindowGroupLimit),
@@ -22,17 +22,17 @@ def newest(ops: DataFrame, snapshot: int | None = None, key: str = "k", seq: str
     return seen.withColumn("rn", rank).filter("rn = 1").drop("rn")
 
 
-def visible(ops: DataFrame, snapshot: int | None = None, key: str = "k", seq: str = "seq", deleted: str = "deleted") -> DataFrame:
+def visible(ops: DataFrame, snapshot: int | Column | None = None, key: str = "k", seq: str = "seq", deleted: str = "deleted") -> DataFrame:
     """The live view as of a snapshot."""
     return newest(ops, snapshot, key, seq).filter(~F.col(deleted))
 
 
-def get(ops: DataFrame, wanted, snapshot: int | None = None, key: str = "k") -> DataFrame:
+def get(ops: DataFrame, wanted, snapshot: int | Column | None = None, key: str = "k") -> DataFrame:
     """The visible version of one key: no row if it isn't found or was deleted. The filter reaches the scan."""
     return visible(ops.filter(F.col(key) == F.lit(wanted)), snapshot, key)
 
 
-def seek(ops: DataFrame, target=None, limit: int | None = None, end=None, snapshot: int | None = None, key: str = "k") -> DataFrame:
+def seek(ops: DataFrame, target=None, limit: int | None = None, end=None, snapshot: int | Column | None = None, key: str = "k") -> DataFrame:
     """The view in order of key from target on (all of it without one), before `end`, `limit` rows at most.
 
     Keys outside of the range are dropped below the window.
@@ -67,7 +67,7 @@ def history(ops: DataFrame, wanted, key: str = "k", seq: str = "seq") -> DataFra
     return ops.filter(F.col(key) == F.lit(wanted)).withColumn("rn", rank)
 
 
-def diff(ops: DataFrame, old: int, new: int | None = None, key: str = "k", seq: str = "seq") -> DataFrame:
+def diff(ops: DataFrame, old: int | Column, new: int | Column | None = None, key: str = "k", seq: str = "seq") -> DataFrame:
     """Keys whose visible version differs between two snapshots: added, removed or changed."""
     a = visible(ops, old, key, seq).select(key, F.col(seq).alias("old_seq"))
     b = visible(ops, new, key, seq).select(key, F.col(seq).alias("new_seq"))

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def encode_vector(vector: Column, metadata: Column | None = None) -> Column:
+    """A vector of floats and its metadata as the value of a key, in JSON."""
+    fields = [vector.cast("array<float>").alias("vector"), *([metadata.cast("string").alias("metadata")] if metadata is not None else [])]
+    return F.to_json(F.struct(*fields))
+
+
+def decode_vector(value: Column) -> Column:
+    """struct(vector, metadata) of a value; null for values that are no vectors, so that vectors and other values may share a table."""
+    found = F.from_json(value.cast("string"), "vector array<float>, metadata string")
+    return F.when(found["vector"].isNotNull(), found)
+
+
 def distance(vector: Column, query: list[float], metric: str = "l2") -> Column:
     """Distance in double precision: l2, inner (negated product) or cosine (1 - similarity)."""
     q = F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
@@ -28,6 +45,67 @@ def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", id
     return vectors.select(id_column, distance(F.col(vector_column), query, metric).alias("dist")).orderBy("dist", id_column).limit(k)
 
 
+def search_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_column: str = "vec_id", vector_column: str = "embedding", block: int = 2048) -> DataFrame:
+    """(query_id, id, dist, rank): the k nearest to each query (id_column, vector_column), exactly, ties by id.
+
+    Queries are taken in blocks of `block` vectors, which are broadcast; each task compares them with a slice of
+    the vectors at a time and keeps k of each, and the tasks' lists are merged by query.
+    A vector of another length, or a null one, is near to nothing.
+    """
+    spark = vectors.sparkSession
+    kind = vectors.schema[id_column].dataType.simpleString()
+    schema = f"query_id {queries.schema[id_column].dataType.simpleString()}, id {kind}, dist double"
+    frame = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"))
+    parts, held = [], []
+
+    def search(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.asarray([list(r[1]) for r in rows], dtype=np.float64)))
+        return frame.mapInArrow(lambda batches: _nearest(batches, *shared.value, k, metric), schema)
+
+    for row in queries.select(id_column, vector_column).filter(F.col(vector_column).isNotNull()).toLocalIterator():
+        if held and (len(held) == block or len(held[-1][1]) != len(row[1])):
+            parts.append(search(held))
+            held = []
+        held.append(row)
+    if held:
+        parts.append(search(held))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        out = np.empty((len(queries), len(vectors)))
+        for i, q in enumerate(queries):  # differences, as squares that are subtracted lose near ones
+            out[i] = np.sqrt(np.square(vectors - q).sum(axis=1))
+        return out
+    product = queries @ vectors.T
+    if metric == "inner":
+        return -product
+    norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1 - product / norms
+
+
+def _nearest(batches: Iterable[pa.RecordBatch], ids: list, queries: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    best: list[list[tuple]] = [[] for _ in ids]
+    kinds = None
+    for batch in batches:
+        kinds = batch.schema.field("id").type
+        rows = [(i, v) for i, v in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist(), strict=True) if v is not None and len(v) == queries.shape[1] and None not in v]
+        if not rows:
+            continue
+        dist = _distances(queries, np.asarray([v for _, v in rows], dtype=np.float64), metric)
+        for q, row in enumerate(dist):
+            near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1])
+            best[q] = sorted([*best[q], *((float(row[j]), rows[j][0]) for j in near)])[:k]
+    flat = [(ids[q], i, d) for q, own in enumerate(best) for d, i in own]
+    if flat:
+        columns = list(zip(*flat, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], kinds), pa.array(columns[2], pa.float64())], ["query_id", "id", "dist"])
+
+
 def recall(found: DataFrame, exact: DataFrame, id_column: str = "vec_id") -> float:
     """Share of the exact neighbours that were found."""
     wanted = exact.select(id_column).distinct()
