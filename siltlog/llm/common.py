@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable
 
@@ -61,6 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_INFER, before)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: shuffle files and broadcasts are removed only when nothing refers to them there, which else may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def near(df: DataFrame, limit: int | None = None) -> DataFrame:
     """A cut table as the side of a join on its own unique keys: broadcast up to `limit` rows, merged with a shuffle beyond."""
     return F.broadcast(df) if df.count() <= (BROADCAST_IDS if limit is None else limit) else df.hint("merge")

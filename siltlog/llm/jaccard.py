@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, digest, drop_rows, near, slices, table
+from . import common
+from .common import cut, digest, drop_rows, near, slices, table, tidy
 from .textscan import NOT_SPACE, mix, text_bytes, words
 
 SHINGLE = 5
@@ -267,34 +269,57 @@ def _meet(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect what the pairs connect that are as similar as asked for: from the smallest set of each component that the task finds to the others. Pairs that are connected already aren't compared."""
-    root: dict[int, int] = {}
+class _Forest:
+    """Numbers that are connected; the smallest of a component stands for it."""
 
-    def find(x: int) -> int:
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
         while (up := root.setdefault(x, x)) != x:
             root[x] = x = root.setdefault(up, up)
         return x
 
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        """Each number's component and the number."""
+        keys = list(self.root)
+        return pa.RecordBatch.from_arrays([pa.array([self.find(x) for x in keys], pa.int64()), pa.array(keys, pa.int64())], names)
+
+
+def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect what the pairs connect that are as similar as asked for: from the smallest set of each component that the task finds to the others. Pairs that are connected already aren't compared."""
+    forest = _Forest()
+
     def stars() -> pa.RecordBatch:
-        links = [(r, x) for x in list(root) if (r := find(x)) != x]
-        u, v = zip(*links, strict=True) if links else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        links = forest.batch(["u", "v"])
+        return links.filter(pc.not_equal(links.column(0), links.column(1)))
 
     for batch in batches:
         for x in batch.to_pylist():
-            a, b = find(x["u"]), find(x["v"])
-            if a == b:
+            if forest.find(x["u"]) == forest.find(x["v"]):
                 continue
             both = _meet(x["shared"], x["v_shared"])
             if 100 * both >= PERCENT * (x["n"] + x["v_n"] - both):
-                root[max(a, b)] = min(a, b)
-        if len(root) > HELD_SETS:
+                forest.join(x["u"], x["v"])
+        if len(forest.root) > HELD_SETS:
             yield stars()
-            root.clear()
+            forest = _Forest()
     yield stars()
 
 
+def _connect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = _Forest()
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            forest.join(u, v)
+    yield forest.batch(["component", "key"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) among the pairs that connect what all links among them connect."""
     a = sets.select(F.col("key").alias("u"), "n", "shared")
@@ -324,7 +349,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (key, component) after further links, which are followed between components only."""
+    """Labels (key, component) after further links.
+
+    Up to common.BROADCAST_IDS labels and links (16 bytes each), which are counted first, are connected in one task; beyond,
+    links are followed between components only, in rounds of joins.
+    """
+    known = links if labels is None else links.union(labels.select("component", "key"))
+    if known.count() <= common.BROADCAST_IDS:
+        return cut(known.coalesce(1).mapInArrow(_connect, "component long, key long").select("key", "component"))
     if labels is None:
         return components(links)
     of_u = labels.select(F.col("key").alias("u"), F.col("component").alias("cu"))
@@ -422,6 +454,8 @@ def link_components(sets: DataFrame) -> DataFrame | None:
             pairs = pairs.filter("component = main or p_key < key")
         pairs = cut(pairs.select(F.least("key", "p_key").alias("u"), F.greatest("key", "p_key").alias("v")).distinct())
         labels = merged(labels, verified(pairs, sets))
+        del own, sizes, open_, side, pairs
+        tidy(sets.sparkSession)
         if last:
             break
     return labels
@@ -450,6 +484,8 @@ def _decided(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     shared = spread.groupBy("part").applyInArrow(_shared(bits), "part int, blob binary")
     maps = ", ".join(f"{c} long" for c in BITMAPS)
     sets = cut(shared.groupBy("part").applyInArrow(_prefixes, f"key long, n long, own long, shared binary, one array<long>, {maps}"))
+    del spread, shared
+    tidy(docs.sparkSession)
     first = classes.select("key", "first")
     labels = link_components(sets)
     found = classes.filter("copies > 1").select("key", F.col("first").alias("component_id"))
