@@ -529,3 +529,23 @@ def drop_similar(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of near copies that each is in."""
     return similar_components(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+OP8_SQL = """
+with recursive
+docs as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+    from documents),
+shingles as (
+    select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i : i + 4], ' ') end as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from docs where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+met as (select a.doc_id as u, b.doc_id as v, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select u, v from met join sizes a on a.doc_id = u join sizes b on b.doc_id = v where 100 * k >= 80 * (a.n + b.n - k)),
+reach as (
+    select u as doc_id, v as other from links
+    union
+    select r.doc_id, l.v from reach r join links l on r.other = l.u)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) as component_id
+from docs d left join sizes s using (doc_id) left join (select doc_id, min(other) as low from reach group by doc_id) c using (doc_id)
+"""

@@ -316,3 +316,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "target_uri")
 
 
+OP10_SQL = """
+with
+pays as (select page_id, url, encode(coalesce(html, '')) as p, sha1(encode(coalesce(html, ''))) as h from pages),
+digits as (select page_id, url, octet_length(p) as payload_bytes, h,
+    array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast(concat('0x', substr(h, cast(5 * i + 1 as integer), 5)) as bigint) >> cast(5 * (3 - j) as integer)) & 31 as integer), 1)), '')), '') as payload_digest from pays),
+firsts as (select *, min(page_id) over (partition by h) as first from digits)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as target_uri
+from firsts
+"""
