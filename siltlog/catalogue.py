@@ -437,6 +437,21 @@ _SQL = {
     "vector_topk": """with q as (select embedding as e from embeddings where vec_id = 0)
         select vec_id, sqrt(list_sum(list_transform(list_zip(embedding, e), lambda x: (cast(x[1] as double) - cast(x[2] as double)) * (cast(x[1] as double) - cast(x[2] as double))))) as dist
         from embeddings, q order by dist, vec_id limit 10""",
+    "crc_per_batch": f"""with {_OPS}, rule as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, s: xor(c >> 1, (c & 1) * 3988292384))) as t),
+        bytes as (select batch_id, list_transform(string_split(concat(k, v), ''), lambda x: cast(ord(x) as bigint)) as b from ops)
+        select batch_id, cast(sum(xor(list_reduce(list_prepend(cast(4294967295 as bigint), b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295)) as bigint) as crc_sum
+        from bytes, rule group by batch_id""",
+    "level_stats": f"""with recursive {_OPS},
+        flushes as (select cast(floor(event_id / 1024) as bigint) as i, count(*) as n from events group by 1),
+        s as (select cast(-1 as bigint) as i, 0::bigint as r0, 0::hugeint as v0, 0::bigint as r1, 0::hugeint as v1, 0::bigint as r2, 0::hugeint as v2
+            union all
+            select i, case when full0 then 0 else r0 end, case when full0 then 0 else v0 end,
+                   case when full0 and not full1 then 1 when full0 then 0 else r1 end, case when full0 and not full1 then v0 + v1 when full0 then 0 else v1 end,
+                   case when full0 and full1 then 1 else r2 end, case when full0 and full1 then v0 + v1 + v2 else v2 end
+            from (select f.i, r0 + 1 as r0, v0 + f.n as v0, r1, v1, r2, v2, r0 + 1 > 4 as full0, (v0 + f.n + v1) * 100 > 67108864 as full1 from s join flushes f on f.i = s.i + 1)),
+        done as (select * from s order by i desc limit 1)
+        select 0 as level, cast(r0 as bigint) as runs, cast(v0 as bigint) as versions from done
+        union all select 1, cast(r1 as bigint), cast(v1 as bigint) from done union all select 2, cast(r2 as bigint), cast(v2 as bigint) from done""",
     "store_latest": f"with {_OPS}, {_LIVE} select * from live",
     "store_snapshot": f"with {_OPS} {_at('seq <= top // 2')}",
     "store_after_compaction": f"with {_OPS}, {_LIVE} select * from live",
