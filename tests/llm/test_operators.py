@@ -193,6 +193,77 @@ def test_training_sample_is_bounded(spark):
     assert (language.train(rows, "doc_id", "text", "lang", most=20).weights == language.fit([(r["text"], "en") for r in order[:20]]).weights).all()
 
 
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(31)
+    rows = [(prose(rng, 6, 12), rng.randint(0, 1)) for _ in range(40)]
+    weights = toxicity.fit(rows, bits=10, epochs=2)
+    feats = sorted((toxicity.packed_features(pa.array([t], pa.large_string()), 10)[0], y) for t, y in rows)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    l1, top, ones = toxicity.L1_A_ROW * len(rows), 1 << 10, sum(y for _, y in rows)
+
+    def weight(i):
+        if i != top and abs(z[i]) <= l1:
+            return 0.0
+        shrunk = z[i] - (math.copysign(l1, z[i]) if i != top else 0.0)
+        return -shrunk / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(0).permutation(len(rows))
+    for _ in range(2):
+        for j in order:
+            data, y = feats[j]
+            own = [*toxicity.unpacked(data, 10).tolist(), top]
+            before = {i: weight(i) for i in own}
+            g = (1 / (1 + math.exp(-sum(before.values()))) - y) * len(rows) / (2 * (ones if y else len(rows) - ones))
+            for i in own:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * before[i]
+                n[i] += g * g
+    assert weights == pytest.approx([weight(i) for i in range(top + 1)], abs=1e-5) and np.any(weights)
+
+
+def test_fusion_equals_a_plain_loop(spark):
+    rng = random.Random(37)
+    model = language.fit([("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr")])
+    vocabulary = "the house and garden das haus und der garten la maison et le jardin".split()
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 12))), rng.choice([None, "en", "de-AT", "xx"]), rng.choice([None, "de", "uk", "com"]), rng.choice([None, "a.x.de", "b.x.de", "c.org", "d"])) for i in range(80)]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string").repartition(3), ["doc_id"], model).collect()}
+
+    def scaled(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    likely = {}
+    for i, text, *_ in rows:
+        sums, n = model.score(pa.array([text], pa.large_string()))
+        likely[i] = (sums[0] * language.EVIDENCE / (n[0] + language.EVIDENCE)).tolist(), int(n[0])
+    seen = [(r[4], scaled(likely[r[0]][0])) for r in rows if likely[r[0]][1]]
+    sums = lambda keep: [sum(c[j] for h, c in seen if keep(h)) for j in range(3)] + [sum(map(keep, (h for h, _ in seen)))]
+    whole = sums(lambda h: True)
+    overall = [(whole[j] + 1) / (whole[3] + 3) for j in range(3)]
+    for i, text, declared, suffix, host in rows:
+        if not likely[i][1]:
+            assert got[i]["language"] is None and not got[i]["accepted"]
+            continue
+        prior = overall
+        if host is not None:
+            domain = sums(lambda h, d=".".join(host.split(".")[-2:]): h is not None and ".".join(h.split(".")[-2:]) == d)
+            prior = [(domain[j] + language.SMOOTHING * overall[j]) / (domain[3] + language.SMOOTHING) for j in range(3)]
+            own = sums(lambda h, x=host: h == x)
+            prior = [(own[j] + language.SMOOTHING * prior[j]) / (own[3] + language.SMOOTHING) for j in range(3)]
+        logs = [v + math.log(p) for v, p in zip(likely[i][0], prior, strict=True)]
+        for said, right in (((declared or "").split("-")[0], language.DECLARED), (language.SUFFIXES.get(suffix or ""), language.SUFFIX)):
+            if said in model.languages:
+                logs = [v + math.log(right if x == said else (1 - right) / 2) for v, x in zip(logs, model.languages, strict=True)]
+        chances = scaled(logs)
+        assert got[i]["confidence"] == pytest.approx(max(chances), rel=1e-5)
+        assert got[i]["language"] == model.languages[chances.index(max(chances))] and got[i]["accepted"] == (max(chances) >= language.LEAST)
+
+
+def test_keys_that_clash_are_an_error(spark):
+    frame = spark.createDataFrame([("a", None, None)], "host string, declared string, suffix string").withColumn("text", F.lit("x"))
+    with pytest.raises(ValueError, match="host"):
+        language.identify(frame, ["host"], language.fit([("a", "en")]))
+
+
 @pytest.mark.parametrize("n", [0, 1, 8191, 8192, 1 << 18])
 def test_packed_features_come_back(n):
     at = np.sort(np.random.default_rng(n).permutation(1 << 18)[:n])
@@ -612,6 +683,10 @@ def test_warc(spark, tmp_path, monkeypatch, limit):
     assert len(got) == 6
     responses = warc.read_warc(spark, path).filter("record_type = 'response' and payload_bytes > 10")
     assert sorted(r["record_id"] for r in responses.collect()) == ["<urn:page:2>", "<urn:page:5>"]
+    odd = spark.createDataFrame([("a\r\nb", "u", "same"), ("a\r\nb", "u", "same"), ("c", "u", "same")], "page_id string, url string, html string")
+    warc.write_warc(odd, str(tmp_path / "odd"))
+    said = sorted((r["record_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, str(tmp_path / "odd")).collect())
+    assert said == [("<urn:page:a%0D%0Ab>", "response", None)] * 2 + [("<urn:page:c>", "revisit", "<urn:page:a%0D%0Ab>")]
     warc.write_warc(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
