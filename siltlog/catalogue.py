@@ -467,7 +467,7 @@ _SQL = {
     "value_percentiles": """select event_type, min(value) filter (upto >= ceil(0.5 * n)) as p50, min(value) filter (upto >= ceil(0.95 * n)) as p95, min(value) filter (upto >= ceil(0.99 * n)) as p99
         from (select event_type, value, count(*) over (partition by event_type) as n, count(*) over (partition by event_type order by value) as upto from events) group by event_type""",
     "internal_keys": f"""with {_OPS} select lower(hex(k)) || '00' || lower(lpad(hex(18446744073709551615::ubigint - seq::ubigint), 16, '0')) as coded, k, seq from ops""",
-    "key_filters": f"""with {_OPS} select run, count(distinct k) as n_keys, 0 as n_missed, greatest(64, 10 * count(distinct k)) as bits, 6 as hashes from ops group by run""",
+    "key_filters": f"""with {_OPS} select run, count(distinct k) as n_keys, cast(0 as bigint) as n_missed, greatest(64, 10 * count(distinct k)) as bits, cast(6 as bigint) as hashes from ops group by run""",
     "term_order": """with e as (select event_id + 1 as idx, 2 + cast(floor(event_id / 1000) as bigint) - case when event_id % 700 = 699 then 1 else 0 end as term from events)
         select idx, term from (select idx, term, lag(term) over (order by idx) as before from e) where term < before""",
     "chunk_transfer": """with f as (select user_id as name, cast(sum(strlen(props)) as bigint) as size from events group by user_id),
