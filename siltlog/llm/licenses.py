@@ -194,7 +194,7 @@ SIGNATURES = [
     ("zpl", 6, 0.97, "zope", "this software is subject to the provisions of the zope public license"),
 ]
 #: One of these is in every text that a rule or a phrase of BASE matches.
-TRIGGERS = (b"licen", b"under", b"permi", b"redistribut", b"domain", b"copy", b"softw", b"gnu", b"mozilla", b"apache", b"creativecommons", b"opendatacommons", b"opensource", b"beer", b"waived", b"fuck", b"eupl", b"w3", b"sil", b"boost", b"eclipse", b"vim")
+TRIGGERS = (b"licens", b"licenc", b"under", b"permi", b"distribut", b"domain", b"endorse", b"merchantab", b"misrepresent", b"advertising", b"liable", b"waived", b"hosted", b"unmodified", b"unauthorized", b"gnu", b"mozilla", b"apache", b"eclipse", b"creativecommons", b"opendatacommons", b"opensource", b"openssl", b"eupl", b"mpl", b"psf", b"ofl", b"consortium", b"artistic", b"beer", b"evil", b"fuck")
 
 
 @dataclass(frozen=True)
@@ -226,9 +226,20 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
+@cache
+def _gated() -> dict[str, list[int]]:
+    """The places of each keyword's rules."""
+    out: dict[str, list[int]] = {}
+    for i, rule in enumerate(rules()):
+        for word in rule.keywords:
+            out.setdefault(word, []).append(i)
+    return out
+
+
 def detect(joined: str, present: set[str]) -> list[tuple[int, int, Rule]]:
     """What the rules find in words joined by spaces: (start, end, rule), without what is contained in a detection that goes ahead of it."""
-    found = [(m.start(), m.end(), r) for r in rules() if not present.isdisjoint(r.keywords) for m in r.pattern.finditer(joined)]
+    tried = sorted({i for w in present for i in _gated().get(w, ())})
+    found = [(m.start(), m.end(), rules()[i]) for i in tried for m in rules()[i].pattern.finditer(joined)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
     starts: list[tuple[int, int]] = []
     kept = []
@@ -264,6 +275,8 @@ def _automaton():
     return out
 
 
+#: Bytes of words as they are, and all others as spaces.
+_SPACED = bytes(b if ALNUM[b] else 32 for b in range(256))
 _BASE_PATTERNS = [(re.compile(f"(?<![^ ]){phrase}(?![^ ])"), label) for phrase, label in BASE.items()]
 
 
@@ -276,13 +289,11 @@ def _scan(part: pa.RecordBatch) -> pa.RecordBatch:
         if not any(x in text for x in TRIGGERS):
             rows.append((0, None, None, [], [], [], 0.0))
             continue
-        a, b = found.first[i], found.first[i + 1]
-        own = [data[s:e].tobytes() for s, e in zip(found.begin[a:b], found.end[a:b], strict=True)]
-        joined = b" ".join(own).decode("utf-8", "replace")
+        joined = b" ".join(text.translate(_SPACED).split()).decode("utf-8", "replace")
         present = {w for _, w in _automaton().iter(joined)}
         base = sorted((m.start(), label) for pattern, label in _BASE_PATTERNS for m in pattern.finditer(joined))
         kept = detect(joined, present)
-        ends = np.cumsum([len(w.decode("utf-8", "replace")) + 1 for w in own])
+        ends = np.cumsum([len(w) + 1 for w in joined.split(" ")]) if kept or base else np.zeros(0, np.int64)
 
         def word(at: int, ends=ends) -> int:
             return int(np.searchsorted(ends, at, "right"))
