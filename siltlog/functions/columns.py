@@ -45,10 +45,10 @@ def file_number(name: Column) -> Column:
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
-    """How many leading characters two strings share."""
-    size = F.least(F.length(a), F.length(b))
-    equal = F.filter(F.sequence(F.lit(0), size), lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
-    return F.array_max(equal)
+    """How many leading characters two strings share, in one walk over them."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    place = F.array_position(same, False)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.when(place > 0, place - 1).otherwise(F.length(a)).cast("int"))
 
 
 def status_text(code: Column, message: Column) -> Column:

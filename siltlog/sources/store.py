@@ -176,6 +176,31 @@ class Lease:
                 self.files.delete(self.name)
 
 
+class Cursor:
+    """Walks over the live rows of a snapshot in order of key, for a reader on the driver: rows come partition by partition.
+
+    valid tells whether it is at a row; key and value are that row's. An error of a read ends the walk and stays in `error`.
+    """
+
+    def __init__(self, store: Store, snapshot: Snapshot, target: bytes | str = b""):
+        self.store, self.snapshot = store, snapshot
+        self.seek(target)
+
+    def seek(self, target: bytes | str = b"") -> None:
+        """Goes to the first key from target on; without one to the first of all."""
+        self.error: Exception | None = None
+        self._rows = iter(self.store.seek(target, snapshot=self.snapshot).toLocalIterator())
+        self.next()
+
+    def next(self) -> None:
+        try:
+            row = next(self._rows, None)
+        except Exception as e:
+            self.error, row = e, None
+        self.valid = row is not None
+        self.key, self.value = (bytes(row["k"]), bytes(row["v"])) if row is not None else (None, None)
+
+
 def _bytes(x: bytes | str) -> bytes:
     return x.encode() if isinstance(x, str) else bytes(x)
 
@@ -274,14 +299,20 @@ class Store:
 
     def _load(self) -> Manifest:
         if self.files.exists("CURRENT"):
-            name = self.files.read("CURRENT").strip()
+            name = self._text("CURRENT").strip()
             if not self.files.exists(f"manifest/{name}"):
                 raise StoreError("IOError", f"{name} is missing")
-            return Manifest.parse(self.files.read(f"manifest/{name}"))
+            return Manifest.parse(self._text(f"manifest/{name}"))
         if self.files.names("manifest"):
             raise StoreError("Corruption", "there are manifests, but no CURRENT")
         return self._recover()
 
+    def _text(self, name: str) -> str:
+        try:
+            return self.files.read(name)
+        except Exception as e:
+            raise StoreError("Corruption" if "ChecksumException" in str(e) else "IOError", f"{name} can't be read") from e
+
     def _recover(self) -> Manifest:
         """Without any manifest all runs that are there count, at level 0, with what a scan of them gives."""
         names = [n for n in self.files.names("runs") if n.startswith("run_")]
@@ -486,6 +517,10 @@ class Store:
         low = _bytes(target) or None
         return view.seek(self.versions(low), limit=limit, snapshot=self._at(snapshot)).select("k", "seq", "v")
 
+    def cursor(self, target: bytes | str = b"", snapshot: Snapshot | None = None) -> Cursor:
+        """A place in the live rows in order of key, at the first key from target on."""
+        return Cursor(self, snapshot or self.snapshot(), target)
+
     def multi_get(self, keys: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
         """keys (k) with the value of each, or null."""
         return keys.join(self.view(snapshot), "k", "left")

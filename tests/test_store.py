@@ -1,3 +1,4 @@
+import base64
 import random
 import time
 
@@ -221,3 +222,56 @@ def test_batch_encoding():
     assert len(batch) == 6
     batch.clear()
     assert len(batch) == 0
+
+
+def test_cursor(spark, tmp_path):
+    with Store(spark, str(tmp_path / "t")) as store:
+        store.write([("put", "a", "1"), ("put", "b", "2"), ("put", "c", "3"), ("delete", "b")])
+        cursor = store.cursor()
+        store.write([("put", "d", "4"), ("delete", "a")])
+        seen = []
+        while cursor.valid:
+            seen.append((cursor.key, cursor.value))
+            cursor.next()
+        assert seen == [(b"a", b"1"), (b"c", b"3")] and cursor.error is None
+        cursor.seek("b")
+        assert (cursor.valid, cursor.key) == (True, b"c")
+        latest = store.cursor("d")
+        assert latest.key == b"d"
+        latest.next()
+        assert not latest.valid and latest.key is None
+
+
+def test_command_line_exit_codes(spark, tmp_path, capfdbinary):
+    from siltlog.__main__ import main
+
+    path = str(tmp_path / "t")
+    assert main([path, "put", "a", "1"]) == 0 and main([path, "get", "a"]) == 0 and main([path, "get", "b"]) == 1
+    assert main([path]) == 2 and main([path, "nothing"]) == 2 and main([path, "put", "", "1"]) == 2
+    assert main([path, "compact"]) == 0 and main([path, "status"]) == 0
+    (tmp_path / "t" / "CURRENT").write_text("000099.json")
+    assert main([path, "get", "a"]) == 3
+    assert b"1\n" in capfdbinary.readouterr().out
+
+
+def test_damaged_commits_are_found(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"))
+    store.put("a", "1")
+    (file,) = (tmp_path / "t" / "log").glob("commit_*.json")
+    file.write_text(file.read_text().replace(base64.b64encode(b"1").decode(), base64.b64encode(b"2").decode()))
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="checksum of a commit"):
+        store.view().collect()
+    store.commits = []
+    store.close()
+    torn = '{"seq": 1, "deleted": false, "k": "YQ=='
+    file.write_text(torn)
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    store = Store(spark, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        store.view().collect()
+    store.commits = []
+    store.close()
+    (file.parent / "commit_0000000000000000001_0000000000000000002.json").write_text("")
+    with pytest.raises(StoreError, match="overlaps"):
+        Store(spark, str(tmp_path / "t"))
