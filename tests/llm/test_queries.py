@@ -217,3 +217,26 @@ def test_pipeline(spark):
     assert kept["decontamination"] == {i for i in kept["jaccard_join"] if not hit(texts[i])}
     assert {r["doc_id"] for r in docs.collect()} == kept["decontamination"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).collect()} == kept["decontamination"]
+
+
+def test_pipeline_stages_take_odd_tables(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, digest string, gone_id int, key int"
+    long = "word " * 30_000
+    rows = [(1, "some plain words of a text", "en", "s", 1, "x", "y", 1, 1)] * 2
+    rows += [(1, "other plain words of this text", "en", None, None, None, None, None, None), (None, "some plain words of a text", None, "s", 1, "x", "y", 1, 1), (None, None, None, None, None, None, None, None, None)]
+    rows += [(2, None, "en", "s", 1, "", "", 0, 0), (3, "", "en", "s", 1, "", "", 0, 0), (4, long, "en", "s", 1, "", "", 0, 0), (5, long + " ", "en", "s", 1, "", "", 0, 0), (6, "12 34", "en", "s", 1, "", "", 0, 0)]
+    frame = spark.createDataFrame(rows, schema)
+    left = {"language_id": [1, 1, 1, None, None, 4, 5], "exact_dedup": [1, 1, 1, 2, 4, 6, None, None], "jaccard_join": [1, 1, 1, 2, 3, 4, 6, None, None], "decontamination": [1, 1, 1, 2, 3, 4, 5, 6, None, None]}
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, frame, SMALL), stage(spark, frame.limit(0), SMALL)
+        assert none.count() == 0
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {1, 2, 3, 4, 5, 6, None}
+        else:
+            assert out.columns == frame.columns
+            got = sorted((r["doc_id"] for r in out.collect()), key=lambda x: (x is None, x))
+            # of 2 and 3, and of 4 and 5, which are equal, exact dedup keeps one: the longer of texts, then the smaller id
+            want = [5 if (name == "exact_dedup" and x == 4) else x for x in left[name]]
+            assert got == sorted(want, key=lambda x: (x is None, x)), name
