@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .view import newest, visible
@@ -18,9 +18,8 @@ def retain(versions: DataFrame, last_level: bool, oldest_snapshot: int | Column
     if isinstance(oldest_snapshot, int) and not oldest_snapshot:
         kept = newest(versions, key=key, seq=seq)
         return kept.filter(~F.col(deleted)) if last_level else kept
-    later = F.col(seq) > oldest_snapshot
-    rank = F.row_number().over(Window.partitionBy(key, later).orderBy(F.col(seq).desc()))
-    return versions.withColumn("later", later).withColumn("rn", rank).filter("later or rn = 1").drop("rn", "later")
+    later = versions.filter(F.col(seq) > oldest_snapshot)  # stay where they are
+    return later.unionByName(newest(versions, oldest_snapshot, key, seq))
 
 
 def run_metadata(ops: DataFrame) -> DataFrame:

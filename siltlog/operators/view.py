@@ -45,18 +45,29 @@ def seek(ops: DataFrame, target=None, limit: int | None = None, end=None, snapsh
     return found if limit is None else found.limit(limit)
 
 
-def as_of(probes: DataFrame, ops: DataFrame, probe: str = "probe_id", key: str = "k", at: str = "s") -> DataFrame:
+#: Sequences of a block: what of a key has its versions and probes in order in one task.
+BLOCK = 1 << 20
+
+
+def as_of(probes: DataFrame, ops: DataFrame, probe: str = "probe_id", key: str = "k", at: str = "s", block: int = BLOCK) -> DataFrame:
     """For each probe (probe id, key, at) the newest version with seq <= at, and its status: ok, deleted or missing.
 
-    Probes and versions of a key are put in one order and each probe takes the
+    Probes and versions of a key are put in one order, block by block of their sequences, and each probe takes the
     last version before it: linear in both, where a join would pair every
-    probe with every version of its key.
+    probe with every version of its key. A probe with no version before it in its block takes the last one of the
+    blocks before, of which a key has one row each; so no key's versions are all in one task.
     """
     version = F.struct(F.col("seq"), F.col("deleted"), F.col("v")).alias("version")
     left = ops.select(key, F.col("seq").alias("place"), F.lit(0).alias("kind"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe), version)
     right = probes.select(key, F.col(at).alias("place"), F.lit(1).alias("kind"), probe, F.lit(None).cast(left.schema["version"].dataType).alias("version"))
-    order = Window.partitionBy(key).orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = left.unionByName(right).withColumn("got", F.last("version", ignorenulls=True).over(order)).filter("kind = 1")
+    both = left.unionByName(right).withColumn("block", F.floor(F.col("place") / block))
+    inside = Window.partitionBy(key, "block").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("own", F.last("version", ignorenulls=True).over(inside)).filter("kind = 1")
+    ends = both.groupBy(key, "block").agg(F.max("version").alias("end"))  # by seq, which comes first in it
+    ahead = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col(key).alias("_key"), F.col("block").alias("_block"), F.last("end", ignorenulls=True).over(ahead).alias("before"))
+    met = near[key].eqNullSafe(before["_key"]) & near["block"].eqNullSafe(before["_block"])
+    found = near.join(before, met, "left").withColumn("got", F.coalesce("own", "before"))
     status = F.when(F.col("got").isNull(), "missing").when(F.col("got.deleted"), "deleted").otherwise("ok")
     return found.select(probe, key, F.col("place").alias(at), F.col("got.seq").alias("seq"), status.alias("status"), F.when(status == "ok", F.col("got.v")).alias("v"))
 

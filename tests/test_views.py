@@ -51,10 +51,11 @@ def test_seek_lands_on_next_live_key(spark):
     assert [r["k"] for r in view.seek(ops, end="c").collect()] == ["a"]
 
 
-def test_as_of_equals_model(spark):
+@pytest.mark.parametrize("block", [1, 10, view.BLOCK])
+def test_as_of_equals_model(spark, block):
     rows, ops = make(spark)
     wanted = [(i, f"k{i % 22:02d}", (i * 37) % 301) for i in range(60)]
-    got = {r["probe_id"]: (r["status"], r["v"]) for r in view.as_of(spark.createDataFrame(wanted, "probe_id long, k string, s long"), ops).collect()}
+    got = {r["probe_id"]: (r["status"], r["v"]) for r in view.as_of(spark.createDataFrame(wanted, "probe_id long, k string, s long"), ops, block=block).collect()}
     for i, k, s in wanted:
         live, any_ = model(rows, s), any(r[0] == k and r[1] <= s for r in rows)
         assert got[i] == (("ok", live[k]) if k in live else ("deleted" if any_ else "missing", None))
