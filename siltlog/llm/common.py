@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -63,8 +64,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Has the driver collect its garbage: shuffle files and broadcasts are removed only when nothing refers to them there, which else may take half an hour."""
+    """Has the driver collect its garbage: shuffle files and broadcasts are removed only when nothing refers to them there, which else may take half an hour.
+
+    What Python has let go is told to the JVM by a thread that looks every second, so it is waited for: what a
+    collection still finds in use is old from then on, and is not looked at again for long.
+    """
     gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 

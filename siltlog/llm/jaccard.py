@@ -419,6 +419,7 @@ def link_components(sets: DataFrame) -> DataFrame | None:
     """
     index = _index(sets)
     entries = index.count()
+    tidy(sets.sparkSession)  # of the shuffles that made the sets
     bitmaps = sets.select("key", *BITMAPS)
     labels = None
     for round_ in range(ROUNDS + 1):
@@ -454,10 +455,10 @@ def link_components(sets: DataFrame) -> DataFrame | None:
             pairs = pairs.filter("component = main or p_key < key")
         pairs = cut(pairs.select(F.least("key", "p_key").alias("u"), F.greatest("key", "p_key").alias("v")).distinct())
         labels = merged(labels, verified(pairs, sets))
-        del own, sizes, open_, side, pairs
-        tidy(sets.sparkSession)
         if last:
             break
+        del own, sizes, open_, side, pairs
+        tidy(sets.sparkSession)
     return labels
 
 
@@ -484,8 +485,6 @@ def _decided(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     shared = spread.groupBy("part").applyInArrow(_shared(bits), "part int, blob binary")
     maps = ", ".join(f"{c} long" for c in BITMAPS)
     sets = cut(shared.groupBy("part").applyInArrow(_prefixes, f"key long, n long, own long, shared binary, one array<long>, {maps}"))
-    del spread, shared
-    tidy(docs.sparkSession)
     first = classes.select("key", "first")
     labels = link_components(sets)
     found = classes.filter("copies > 1").select("key", F.col("first").alias("component_id"))
