@@ -47,6 +47,7 @@ class Files:
                 return False
             raise
         stream.write(bytearray(text.encode()))
+        stream.hsync()  # on disk before another file names it
         stream.close()
         return True
 

@@ -205,3 +205,16 @@ def test_vectors_as_values(spark):
     coded = frame.select("k", vectors.encode_vector(F.col("x"), F.col("m")).alias("v")).union(spark.createDataFrame([("c", "plain")], "k string, v string"))
     got = {r["k"]: r["d"] for r in coded.select("k", vectors.decode_vector(F.col("v").cast("binary")).alias("d")).collect()}
     assert (list(got["a"]["vector"]), got["a"]["metadata"]) == ([1.0, 2.5], "m") and list(got["b"]["vector"]) == [3.0] and got["c"] is None
+
+
+def test_vectors_in_a_table_are_searched_at_a_snapshot(spark, tmp_path):
+    def found(store, pin=None):
+        rows = store.view(pin).select(F.col("k").cast("string").alias("vec_id"), vectors.decode_vector(F.col("v")).alias("d")).filter("d is not null")
+        frame = rows.select("vec_id", F.col("d.vector").cast("array<double>").alias("embedding"))
+        return [r["id"] for r in vectors.search_batch(frame, frame.filter("vec_id = 'a'"), 2).orderBy("rank").collect()]
+
+    with Store(spark, str(tmp_path / "t")) as store:
+        store.write([("put", "a", '{"vector":[0.0,0.0]}'), ("put", "b", '{"vector":[1.0,0.0]}'), ("put", "note", "plain"), ("put", "c", '{"vector":[0.0,3.0],"metadata":"m"}')])
+        pin = store.snapshot()
+        store.write([("delete", "b"), ("put", "d", '{"vector":[0.0,1.0]}')])
+        assert found(store) == ["a", "d"] and found(store, pin) == ["a", "b"]
