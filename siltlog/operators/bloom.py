@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Least bits of a filter, hundredths of the bits a key that a key sets, and most hashes.
+LEAST_BITS, SHARE, MOST_HASHES = 64, 69, 30
 #: Bits of a row's bitmap: what bitmap_construct_agg fills.
 ROW_BITS = 4096 * 8
 
 
 def filter_bits(keys: Column, bits_per_key: int) -> Column:
-    """Bits of a filter of so many keys: 64 at least."""
-    return F.greatest(F.lit(64).cast("long"), keys * max(1, bits_per_key))
+    """Bits of a filter of so many keys: LEAST_BITS at least."""
+    return F.greatest(F.lit(LEAST_BITS).cast("long"), keys * max(1, bits_per_key))
 
 
 def filter_hashes(bits_per_key: int) -> int:
-    """Bits that a key sets: 69 hundredths of the bits a key, from 1 to 30."""
-    return max(1, min(30, bits_per_key * 69 // 100))
+    """Bits that a key sets: SHARE hundredths of the bits a key, from 1 to MOST_HASHES."""
+    return max(1, min(MOST_HASHES, bits_per_key * SHARE // 100))
 
 
 def positions(key: Column, bits: Column, hashes: int) -> Column:
@@ -55,5 +57,5 @@ def may_contain(probes: DataFrame, filters: DataFrame, run: str = "run", key: st
 
 def sound(filters: DataFrame) -> DataFrame:
     """filters with `ok`: whether a row's sizes can be those of a filter and its bitmap is whole."""
-    ok = (F.col("bits") >= 64) & F.col("hashes").between(1, 30) & (F.octet_length("bitmap") == ROW_BITS // 8) & (F.col("part") * ROW_BITS < F.col("bits")) & (F.col("part") >= 0)
+    ok = (F.col("bits") >= LEAST_BITS) & F.col("hashes").between(1, MOST_HASHES) & (F.octet_length("bitmap") == ROW_BITS // 8) & (F.col("part") * ROW_BITS < F.col("bits")) & (F.col("part") >= 0)
     return filters.withColumn("ok", F.coalesce(ok, F.lit(False)))
