@@ -608,6 +608,51 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     assert by_rows(kept) == sorted((r for r in rows if r[0] is None or "x1" not in (r[1] or "").split()), key=repr)
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_jaccard_shuffles_as_much_in_many_ranges(spark, monkeypatch):
+    rng = random.Random(29)
+    frame = spark.createDataFrame([(i, prose(rng, 100, 10**6)) for i in range(5000)], "doc_id long, text string").repartition(2).cache()
+    frame.count()
+    written = []
+    for group in (1 << 20, 200):  # 16 ranges, then 4,096: more than a text has shingles
+        monkeypatch.setattr(jaccard, "GROUP", group)
+        before = shuffled(spark)
+        assert jaccard.similar_components(frame, "doc_id", "text").filter("doc_id = component_id").count() == 5000
+        written.append(shuffled(spark) - before)
+    assert written[1] < 1.25 * written[0], written
+
+
+@pytest.mark.parametrize("copied", [0, 3, 1000])
+def test_jaccard_with_equal_sets_in_many_tasks(spark, monkeypatch, copied):
+    for k, v in {"COPIED": copied, "HELD_KEYS": 1, "SLICE": 2000, "GROUP": 64}.items():
+        monkeypatch.setattr(jaccard, k, v)
+    rng = random.Random(31)
+    base = [prose(rng, 60, 900).split() for _ in range(5)]
+    texts = [" ".join(w[:k] + ["x"] * (k < 60) + w[k + 1 :]) for w in base for k in (0, 1, 30, 59, 60)]
+    texts = [t if i % 3 else t.upper() for i, t in enumerate(texts * 6)] + [None, "", "one two"] * 4
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(frame, "doc_id", "text").collect()}
+    assert got == linked(texts)
+
+
+def test_jaccard_codec():
+    columns = [np.asarray(x, dtype=np.uint64) for x in ([], [0, 0], [1, 255], [256], [0, 1 << 40], [(1 << 64) - 1])]
+    raw = jaccard._encode(*columns)
+    assert [x.tolist() for x in jaccard._decode(b"\1" + raw, 1)] == [x.tolist() for x in columns]
+    entries = b"\1" + jaccard._encode(*(np.asarray([x], dtype=np.uint64) for x in (7, 1, 0, 9, 2)))
+    table = b"\0" + jaccard._encode(*(np.asarray(x, dtype=np.uint64) for x in ([7], [5], [3], [], [])))
+    assert [x.tolist() for x in jaccard._gathered(pa.chunked_array([[entries, table]]))] == [[5], [3], [0], [9], [2]]
+    with pytest.raises(ValueError, match="same order"):  # entries of a slice that is not there
+        jaccard._gathered(pa.chunked_array([[entries]]))
+
+
 def test_jaccard_finds_all_links_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 300)
     rng = random.Random(17)
