@@ -82,6 +82,51 @@ def test_range_joins(spark, monkeypatch):
     assert ranges.containing(keys, "k", runs.limit(0), "lo", "hi").count() == 0
 
 
+@pytest.fixture
+def joined(monkeypatch, spark):
+    """What each join gets: its sides and columns."""
+    frame, seen = type(spark.range(0)), []
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, on=None, how=None: (seen.append((self, other, on)), join(self, other, on, how))[1])
+    return seen
+
+
+def wide(spark, n):
+    """Ranges of different bounds that all overlap."""
+    return spark.createDataFrame([(i, f"{i:04d}", f"{n + i:04d}") for i in range(n)], "run int, lo string, hi string")
+
+
+def test_wide_ranges_are_dealt_to_few_nodes(spark, joined):
+    keys = spark.createDataFrame([(f"{i:04d}",) for i in (0, 150, 399)], "k string")
+    assert ranges.containing(keys, "k", wide(spark, 400), "lo", "hi").count() == 1 + 151 + 400
+    assert joined[-1][1].count() <= 400 * 2 * 11  # by buckets it would be 400 each
+
+
+def test_overlaps_are_compared_once(spark, joined):
+    assert ranges.overlapping(wide(spark, 300), "run", "lo", "hi").count() == 300 * 299 // 2
+    a, b, on = joined[-1]
+    met = a.groupBy(on).count().withColumnRenamed("count", "n").join(b.groupBy(on).count(), on)
+    assert met.agg(F.sum(F.col("n") * F.col("count"))).first()[0] <= 3 * 300 * 299 // 2  # by buckets it would be all pairs in each
+
+
+@pytest.mark.parametrize(("cuts", "most", "node"), [(3, 1 << 16, 9), (1, 1 << 16, 9), (7, 5, 3), (1024, 5, 1)])
+def test_range_joins_by_nodes(spark, monkeypatch, cuts, most, node):
+    for name, value in (("SPLITS", cuts), ("BROADCAST", most), ("NODE", node)):
+        monkeypatch.setattr(ranges, name, value)
+    rng = random.Random(cuts)
+    bounds = [tuple(sorted((f"{rng.randint(0, 99):02d}", f"{rng.randint(0, 99):02d}"))) for _ in range(30)] + [("50", "40"), ("10", "10"), (None, "40"), ("10", None)]
+    runs = spark.createDataFrame([(i, *b) for i, b in enumerate(bounds)], "run int, lo string, hi string")
+    keys = spark.createDataFrame([(f"{i:02d}",) for i in range(100)] + [(None,)], "k string")
+
+    def upto(a, b):
+        return a is not None and b is not None and a <= b
+
+    got = sorted(map(tuple, ranges.containing(keys, "k", runs, "lo", "hi").select("k", "run").collect()))
+    assert got == sorted((f"{i:02d}", j) for i in range(100) for j, (a, b) in enumerate(bounds) if upto(a, f"{i:02d}") and upto(f"{i:02d}", b))
+    pairs = sorted(map(tuple, ranges.overlapping(runs, "run", "lo", "hi").collect()))
+    assert pairs == sorted((i, j) for i in range(34) for j in range(i + 1, 34) if upto(bounds[i][0], bounds[j][1]) and upto(bounds[j][0], bounds[i][1]))
+
+
 def test_export_is_checked_and_restored(spark, tmp_path):
     rows = {f"key{i:05d}".encode(): (b"" if i % 9 == 0 else bytes([i % 256]) * (i % 2000)) for i in range(3000)}
     with Store(spark, str(tmp_path / "a")) as store, Store(spark, str(tmp_path / "b")) as other:
