@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +248,39 @@ def test_batch_search_equals_single_searches(spark, metric):
         assert [r["dist"] for r in mine] == pytest.approx([r["dist"] for r in single], abs=1e-9)
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner", "cosine"])
+def test_batch_search_holds_few_numbers(metric):
+    rng = np.random.default_rng(4)
+    queries, own = rng.normal(size=(1000, 8)), np.round(rng.normal(size=(10_000, 8)), 1).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(list(own), pa.list_(pa.float32()))], ["id", "vector"])
+    tracemalloc.start()
+    got = next(vectors._nearest([batch], list(range(1000)), queries, 3, metric))
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # a distance for each pair would take 80 MB
+    tracemalloc.stop()
+    for q in (0, 500, 999):
+        x = own.astype(float)
+        dist = {"l2": np.sqrt(np.square(x - queries[q]).sum(axis=1)), "inner": -(x @ queries[q]), "cosine": 1 - x @ queries[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(queries[q])}[metric]
+        assert [r["id"] for r in got.slice(q * 3, 3).to_pylist()] == np.lexsort((np.arange(10_000), dist))[:3].tolist()
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 20])
+def test_batch_search_of_equal_and_odd_vectors(monkeypatch, cells):
+    monkeypatch.setattr(vectors, "CELLS", cells)
+    nan, inf = float("nan"), float("inf")
+    rows = [[1e8 + (i % 3) * 1e-7, 0.1] for i in range(20)] + [None, [1.0], [None, 1.0], [nan, 0.0], [inf, 0.0], [1e200, 0.0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.float64()))], ["id", "vector"])
+    queries = np.array([[1e8, 0.1], [0.0, 0.0]])
+
+    def dist(v, q):
+        return sum(((a - b) ** 2 if abs(a - b) < 1e150 else inf if a == a else nan) for a, b in zip(v, q, strict=True)) ** 0.5
+
+    for k in (1, 4, 25):
+        got = next(vectors._nearest([batch.slice(0, 9), batch.slice(9)], ["a", "b"], queries, k, "l2")).to_pylist()
+        for name, q in zip("ab", queries.tolist(), strict=True):
+            want = sorted((d != d, 0.0 if d != d else d, i) for i, v in enumerate(rows) if v is not None and len(v) == 2 and None not in v for d in [dist(v, q)])[:k]
+            assert [r["id"] for r in got if r["query_id"] == name] == [i for _, _, i in want]
+
+
 def test_vectors_as_values(spark):
     frame = spark.createDataFrame([("a", [1.0, 2.5], "m"), ("b", [3.0], None)], "k string, x array<float>, m string")
     coded = frame.select("k", vectors.encode_vector(F.col("x"), F.col("m")).alias("v")).union(spark.createDataFrame([("c", "plain")], "k string, v string"))
