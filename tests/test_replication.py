@@ -101,8 +101,9 @@ def wide(spark, n):
 
 def test_wide_ranges_are_dealt_to_few_nodes(spark, joined):
     keys = spark.createDataFrame([(f"{i:04d}",) for i in (0, 150, 399)], "k string")
-    assert ranges.containing(keys, "k", wide(spark, 400), "lo", "hi").count() == 1 + 151 + 400
-    assert joined[-1][1].count() <= 400 * 2 * 11  # by buckets it would be 400 each
+    assert len(ranges.containing(keys, "k", wide(spark, 400), "lo", "hi").select("k", "run").collect()) == 1 + 151 + 400
+    _, dealt, on = joined[-1]
+    assert dealt.groupBy(on).count().agg(F.sum("count")).first()[0] <= 400 * 2 * 11  # by buckets it would be 400 each
 
 
 def test_overlaps_are_compared_once(spark, joined):
